@@ -34,7 +34,7 @@ PER_LANGUAGE, SAMPLE = 400, 4000
 CENTROIDS = 4
 UNKNOWN = "und"
 #: A text is rejected under this share of the least cosine that labelled texts of its length have.
-MARGIN = 0.5
+MARGIN = 0.25
 
 _CLEAN = np.full(256, 0x20, np.uint8)
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)

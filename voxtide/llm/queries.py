@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import exact_dedup, langid, near_dedup, packing, sharding
+from voxtide.llm import exact_dedup, langid, media, near_dedup, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(warc.chunk_table(table(spark, sf_dir, "pages")))
+    return warc.summaries(warc.read_archives(manifest, with_data=False))
+
+
+def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, image = media.as_netpbm(F.col("text"))
+    out = media.tiles(table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"), image.alias("media")))
+    return out.select(
+        "doc_id", "n_bytes", F.col("samples_bytes").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), "tail_crc32",
+        "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,6 +59,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_media_tiles": op3_media_tiles,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_shards": op6_shards,
     "op7_exact_dedup": op7_exact_dedup,
@@ -53,6 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id != first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id != first_id THEN first_id END AS refers_to
+        FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                     MIN(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first_id FROM pages)""",
     "op7_exact_dedup": r"""
         SELECT doc_id, MIN(doc_id) OVER same AS keep_id, COUNT(*) OVER same AS group_size,
                doc_id = MIN(doc_id) OVER same AS kept, digest AS text_sha256
