@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import exact_dedup, langid, media, near_dedup, packing, sharding, warc
+from voxtide.llm import chat, exact_dedup, langid, media, near_dedup, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: A conversation about control strings, in the layout of a list of messages.
+CONTROL_TALK = """{"conv_id": -7, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}"""
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical(table(spark, sf_dir, "conversations"))
+    more = chat.canonical_json(spark.range(1).select(F.lit(CONTROL_TALK).alias("record")), "record")
+    return chat.read_back(chat.format_turns(turns.unionByName(more.select("conv_id", "turn", "role", "text"))))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs, langid.learnable()))
@@ -64,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_shards": op6_shards,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
