@@ -4,7 +4,7 @@ A text's vector holds, for every bucket of its hashed 2- to 4-grams (of lower-ca
 letters as one space), (1 + ln count) * idf, scaled to unit length. Each language has several
 unit centroids, found by spherical k-means; the language of the centroid with the largest cosine is the
 prediction, and that cosine its score. A text too far from every centroid is rejected: its cosine is under a
-bound learned per centroid count of n-grams from the labelled texts, or it has no letter at all.
+bound, growing with its number of n-grams, that is learned from the labelled texts, or it has no letter at all.
 
 The document frequencies cover every labelled text (partial sums in each task, ``BUCKETS`` numbers in all);
 the centroids are fitted on a bounded sample of distinct texts: ``PER_LANGUAGE`` of a language and ``SAMPLE``
@@ -33,7 +33,7 @@ BUCKETS = 1 << 14
 PER_LANGUAGE, SAMPLE = 400, 4000
 CENTROIDS = 4
 UNKNOWN = "und"
-#: A text is rejected under this share of the least cosine that labelled texts of its length have.
+#: A text is rejected under this share of the least cosine, by their reach, that labelled texts have.
 MARGIN = 0.25
 
 _CLEAN = np.full(256, 0x20, np.uint8)
@@ -67,7 +67,12 @@ class Model:
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # least cosine by the bit length of the number of distinct n-grams
+    bound: float = 0.0  # least cosine of a text by its reach
+
+    @staticmethod
+    def reach(grams: int) -> float:
+        """How the cosine that can be expected grows with the number of distinct n-grams."""
+        return float(np.sqrt(min(grams, 1024)))
 
     def weigh(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[at]
@@ -86,7 +91,7 @@ class Model:
                 yield UNKNOWN, 0.0, True
             else:
                 best, score = self.nearest(at, count)
-                yield self.languages[best], score, score < self.floors[len(at).bit_length()]
+                yield self.languages[best], score, score < self.bound * self.reach(len(at))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("text").alias("n")).collect() if r["n"]}
     if not sizes:
-        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)), np.zeros(64))
+        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)))
     quota = max(2, min(per_language, sample // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * quota / n))])
     key = F.xxhash64("text")
@@ -143,10 +148,10 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     each = partial.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
     for r in each.collect():  # BUCKETS rows
         df[r["at"]] = r["n"]
-    model = Model(np.log((1 + total) / (1 + df)) + 0.05, [], np.zeros((0, BUCKETS)), np.zeros(64))
+    model = Model(np.log((1 + total) / (1 + df)) + 0.05, [], np.zeros((0, BUCKETS)))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     few = facts.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]).withColumn("i", first).where(F.col("i") <= quota).orderBy("lang", "h").collect()
-    found, least = [], np.full(64, np.inf)
+    found = []
     by_lang = {lang: [(np.array(r["at"]), np.array(r["n"])) for r in few if r["lang"] == lang] for lang in sorted({r["lang"] for r in few})}
     for lang, own in by_lang.items():
         x = np.zeros((len(own), BUCKETS), np.float32)
@@ -155,13 +160,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         found.append(_kmeans(x, clusters))
         model.languages += [lang] * len(found[-1])
     model.centroids = np.vstack(found).astype(np.float64)
-    for own in by_lang.values():
-        for at, count in own:
-            size = len(at).bit_length()
-            least[size] = min(least[size], model.nearest(at, count)[1])
-    # Shorter texts than any seen get the benefit of the doubt; a bound never exceeds that of shorter texts.
-    floors = np.minimum.accumulate(least) * MARGIN
-    model.floors = np.where(np.isfinite(floors), floors, 0.0)
+    model.bound = MARGIN * min(model.nearest(at, count)[1] / model.reach(len(at)) for own in by_lang.values() for at, count in own)
     return model
 
 

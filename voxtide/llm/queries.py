@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import chat, exact_dedup, langid, media, near_dedup, packing, sharding, warc
+from voxtide.llm import chat, exact_dedup, html_text, langid, media, mixing, near_dedup, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summaries(warc.read_archives(manifest, with_data=False))
 
 
+#: Target weights of the mix.
+WEIGHTS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    share = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(WEIGHTS))]
+    return out.select("doc_id", "tokens", *share, "domain", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, image = media.as_netpbm(F.col("text"))
     out = media.tiles(table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"), image.alias("media")))
@@ -34,6 +45,10 @@ def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,7 +85,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
     "op3_media_tiles": op3_media_tiles,
+    "op4_html_text": op4_html_text,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_shards": op6_shards,
     "op7_exact_dedup": op7_exact_dedup,
