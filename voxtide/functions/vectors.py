@@ -17,8 +17,8 @@ def norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column, norm_a: Column, norm_b: Column, eps: float = 1e-8) -> Column:
     """1 - cosine similarity, clipped to [-1, 1]; 1 if either vector is (nearly) zero."""
-    similarity = dot(a, b) / F.when(norm_a * norm_b >= eps, norm_a * norm_b)
-    return F.coalesce(F.lit(1.0) - F.least(F.greatest(similarity, F.lit(-1.0)), F.lit(1.0)), F.lit(1.0))
+    similarity = F.coalesce(dot(a, b) / F.when(norm_a * norm_b >= eps, norm_a * norm_b), F.lit(0.0))
+    return F.lit(1.0) - F.least(F.greatest(similarity, F.lit(-1.0)), F.lit(1.0))
 
 
 def sign_hashes(a: Column, dim: int, tables: int = 20, bits: int = 4, seed: int = 42) -> Column:

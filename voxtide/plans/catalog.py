@@ -12,7 +12,7 @@ from voxtide import fixtures as fx
 from voxtide.config import Settings
 from voxtide.fixtures import with_views
 from voxtide.functions import scoring, text
-from voxtide.operators import accounting, baseline, dedup, matching, routing, snapshot, vector_search
+from voxtide.operators import accounting, baseline, clusters, dedup, matching, routing, snapshot, vector_search
 from voxtide.operators.components import connected_components
 from voxtide.plans.stages import Rules, clean_and_filter
 from voxtide.sources import tables
@@ -307,6 +307,48 @@ def fallback_title(spark, sf_dir):
     return fx.voice_lines(spark, sf_dir).groupBy("voice_channel", "gm_code").agg(F.min_by(clean, F.struct(F.length(clean), "id")).alias("fallback_title"))
 
 
+# Clusters
+
+
+@register(f"""WITH {_HYBRID}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -score, gm_code) AS i FROM a)
+    SELECT gm_code, count(*) AS voices, coalesce(arg_max(goc_product_line, id), 'unknown') AS goc_product_line FROM o WHERE i = 1 GROUP BY gm_code""")
+def primary_codes(spark, sf_dir):
+    return clusters.primary_codes(routing.gather_routes(_hybrid(spark, sf_dir)))
+
+
+@register("SELECT n_regionkey, array_to_string(list_slice(list_sort(list(DISTINCT n_name)), 1, 3), '|') AS contexts FROM nation GROUP BY 1")
+def context_summaries(spark, sf_dir):
+    rows = clusters.context_summaries(fx.table(spark, sf_dir, "nation"), ["n_regionkey"], "n_name", 3)
+    return rows.select("n_regionkey", F.array_join("context_summaries", "|").alias("contexts"))
+
+
+_SPLIT = '{"summaries":[{"text":"first","original_indices":[0,1,2]},{"text":"second","original_indices":[2,3,4,77]}]}'
+
+
+@register("""WITH m AS (SELECT n_regionkey AS cluster_id, n_nationkey AS id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos FROM nation),
+    f AS (SELECT cluster_id, arg_min(regexp_replace(n_name, '[，,。!！?？；;\\s]+', '', 'g'), (length(regexp_replace(n_name, '[，,。!！?？；;\\s]+', '', 'g')), pos)) AS fallback FROM m GROUP BY 1)
+    SELECT cluster_id, id, CASE WHEN cluster_id = 0 THEN 1 ELSE 0 END AS success, CASE WHEN cluster_id != 0 THEN fallback WHEN pos >= 2 THEN 'second' ELSE 'first' END AS batch_cluster_title,
+        'sub' || substr(sha256(concat_ws('|', cluster_id, CASE WHEN cluster_id = 0 AND pos >= 2 THEN 1 ELSE 0 END)), 1, 24) AS sub_cluster_id FROM m JOIN f USING (cluster_id)""")
+def cluster_split(spark, sf_dir):
+    n = fx.table(spark, sf_dir, "nation")
+    first = n.select(F.col("n_regionkey").alias("cluster_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    members = dedup.top_k(first, ["cluster_id"], [F.col("id").asc()], 1000, "rank").withColumn("pos", (F.col("rank") - 1).cast("int")).drop("rank")
+    answers = first.select("cluster_id").distinct().withColumn("answer", F.when(F.col("cluster_id") == 0, _SPLIT).when(F.col("cluster_id") == 1, '{"summaries":[{"text":"x","original_indices":[0]}]}'))
+    return clusters.split(members, answers)
+
+
+@register("SELECT o_orderkey AS id, 'UNCLUSTERED' AS batch_cluster_id, false AS batch_cluster_success FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def unclustered_complement(spark, sf_dir):
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return clusters.unclustered(orders, fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")))
+
+
+@register("SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 45)")
+def embedding_cache_misses(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    return clusters.cache_misses(part, part.where("p_size > 45").select("p_name").distinct(), "p_name")
+
+
 # Matching
 
 NOW = "2001-08-01"
@@ -491,6 +533,26 @@ def batch_stats(spark, sf_dir):
     return fx.voice_source(spark, sf_dir).agg(F.count("*").alias("voices"), F.countDistinct("voice_id").alias("distinct_voices"), F.min("gmt_create").alias("first_time"), F.max("gmt_create").alias("last_time"), F.count_if(F.col("k") < 50).alias("low_k"))
 
 
+@register(_MATCH + f"{_DECIDED} SELECT split_part(outcome, ':', 1) AS decision, count(*) AS clusters FROM o GROUP BY 1")
+def decision_counts(spark, sf_dir):
+    return _decided(spark, sf_dir).groupBy(F.split_part("outcome", F.lit(":"), F.lit(1)).alias("decision")).agg(F.count("*").alias("clusters"))
+
+
+@register("""SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS epoch_seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, date_trunc('second', ts) AS seconds,
+    round(greatest(0, epoch(TIMESTAMP '2024-01-20') - CAST(epoch_us(ts) // 1000000 AS BIGINT)) / 86400.0, 6) AS age_days FROM events""")
+def time_conversions(spark, sf_dir):
+    e, instant = fx.table(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    age = F.greatest(F.lit(0), scoring.seconds_between(F.col("ts"), at("2024-01-20"))) / 86400.0
+    return e.select("event_id", F.unix_timestamp(instant).alias("epoch_seconds"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("shown"), F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("seconds"), F.round(age, 6).alias("age_days"))
+
+
+@register("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"id":"' || event_id || '","type":"' || event_type || '"}' AS payload FROM events""")
+def json_columns(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    payload = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type")))
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), payload.alias("payload"))
+
+
 # Model answers
 
 SUMMARY_ANSWERS = ['{"summaries":[{"text":" a ","original_indices":[0,1]},{"text":"b","original_indices":[2]}]}', '{"summaries":[{"text":"a","original_indices":[0]}]}', '{"summaries":[]}', "{}", "junk", '{"summaries":[{"text":"","original_indices":[0,1,2]},{"text":"c","original_indices":[0,1,2,9]}]}']
