@@ -6,6 +6,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -42,7 +43,7 @@ def duck():
 def rows_of(frame) -> list[tuple[str, ...]]:
     """Sorted rows of a pandas frame, columns by name, values as text."""
     def value(v):
-        if v is None or v != v:  # noqa: PLR0124  NaN and NaT
+        if pd.isna(v):
             return "None"
         if isinstance(v, bool):
             return str(v)
