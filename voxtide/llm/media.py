@@ -1,8 +1,8 @@
 """Media columns: Netpbm and BMP bytes decoded to numpy arrays, area-resized by integral images, and kept as NPY tiles with
 difference hashes.
 
-Decoding is a narrow pass, one image at a time; no row is shuffled. ``as_netpbm`` stores any text
-losslessly as an 8-bit RGB image with DataFrame functions alone.
+Decoding is a narrow pass, one image at a time; no row is shuffled. ``store_texts`` writes any texts
+losslessly as 8-bit RGB images, made by DataFrame functions alone, to a media table in the shared folder.
 
 Defined cases: null bytes, or bytes that aren't an image of these formats, give a null array, hash and tile and the
 reason in ``error``; a null text is an empty one (one row of spaces); repeated rows get equal results.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm.common import stored
+
 #: Pixels of a row of a text's image, of three samples each.
 WIDTH = 64
 TILE = 8
@@ -35,6 +37,12 @@ def as_netpbm(text: Column) -> tuple[Column, Column]:
     return n.cast("long"), image.cast("binary")
 
 
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written media table (doc_id, n_bytes, media), as it reads back."""
+    n, image = as_netpbm(F.col(text_col))
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_bytes"), image.alias("media")), "media", "zstd")
+
+
 def _fields(data: bytes, n: int) -> tuple[list[int], int]:
     """The next n numbers of a Netpbm header (after its magic), and the place after the one white space that ends it."""
     found, at = [], 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, image = media.as_netpbm(F.col("text"))
-    out = media.tiles(table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"), image.alias("media")))
+    out = media.tiles(media.store_texts(table(spark, sf_dir, "documents")))
     return out.select(
         "doc_id", "n_bytes", F.col("samples_bytes").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), "tail_crc32",
         "media_bytes", "media_sha256", F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
@@ -96,7 +96,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+def _chat_sql() -> str:
+    """The formatted turns, by the same template and escapes, digested without being parsed again."""
+    ways = "|".join(rf"{first}\\*(?:{rest})" for first, rest in (("<", _rest("<")), (r"\[", _rest("["))))
+    escaped = f"regexp_replace(text, '({ways})', chr(1) || '\\1', 'g')"  # one mark before each control string: as long as one escape
+    return f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+             f AS (SELECT *, length('<|im_start|>') + length(role) + 1 + length({escaped}) + length('<|im_end|>') + 1 AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id"""
+
+
+def _rest(first: str) -> str:
+    return "|".join(re.escape(c[1:]) for c in chat.CONTROLS if c[0] == first)
+
+
 ORACLES: dict[str, str] = {
+    "op8_chat_format": _chat_sql(),
     "op1_warc": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id != first_id THEN 'revisit' ELSE 'response' END AS record_type,
