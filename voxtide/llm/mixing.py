@@ -32,7 +32,9 @@ from voxtide.llm.common import stored
 FIT_DOCS, WORDS, LEAST_DOCS = 20_000, 1024, 8
 #: A word tells something if its share in a domain is this many standard errors from its share elsewhere.
 TELLING = 4.0
-STEPS, CHAIN = 60, 8
+#: A word speaks at most so much against a domain, so that a domain is found by what speaks for it, not by elimination.
+AGAINST = -1.0
+STEPS, CHAIN, PATIENCE = 60, 8, 4
 
 
 def words(text: Column) -> Column:
@@ -45,7 +47,7 @@ def words(text: Column) -> Column:
 class Classifier:
     domains: list[str]
     prior: list[float]  # log
-    table: DataFrame | None  # word, w: array of a log-likelihood ratio for each domain
+    table: DataFrame | None  # word, w: array of a log-likelihood ratio for each domain, 0 where the word doesn't tell
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = FIT_DOCS) -> Classifier:
@@ -71,7 +73,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str =
         inside, outside = (F.col(f"c{k}") + 0.5) / (own + 1.0), (F.col("c") - F.col(f"c{k}") + 0.5) / (other + 1.0)
         mean = F.col("c") / float(every)
         tells.append(F.abs(inside - outside) / F.sqrt(mean * (1 - mean) * (1.0 / own + 1.0 / other) + 1e-12))
-        ratios.append(F.log(inside / outside))
+        ratios.append(F.when(tells[-1] >= TELLING, F.greatest(F.lit(AGAINST), F.log(inside / outside))).otherwise(0.0))
     tell = F.greatest(*tells) if len(tells) > 1 else tells[0] if tells else F.lit(0.0)
     best = counts.select("word", tell.alias("tell"), F.array(*ratios).alias("w")).where(F.col("tell") >= TELLING)
     table = stored(best.orderBy(F.desc("tell"), "word").limit(WORDS).select("word", "w"), "telling-words")
@@ -79,13 +81,17 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str =
 
 
 def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tokens (words of the whole text), p: array of the posterior of each domain."""
+    """doc_id, tokens (words of the whole text), p: array of the posterior of each domain.
+
+    The ratios of a document's n telling words add up over the root of n: words of a kind come together, and
+    taken as independent they would drown the one word that matters.
+    """
     k = len(model.domains)
     base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))
     if model.table is None:
         return base.withColumn("p", F.array(*[F.lit(1.0 / k)] * k))
     each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(words(F.col(text_col))).alias("word"))
-    hits = each.join(F.broadcast(model.table), "word").groupBy("_id").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])  # at most WORDS rows
+    hits = each.join(F.broadcast(model.table), "word").groupBy("_id").agg(*[(F.sum(F.col("w")[i]) / F.sqrt(F.greatest(F.count_if(F.col("w")[i] != 0), F.lit(1)))).alias(f"s{i}") for i in range(k)])  # at most WORDS rows
     scored = base.join(hits, base["doc_id"] == hits["_id"], "left")
     logits = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(model.prior[i]) for i in range(k)]
     top = F.greatest(*logits) if k > 1 else logits[0]
@@ -111,7 +117,7 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
     k = len(targets)
     p, t = [F.col("p")[i] for i in range(k)], F.col("tokens")
     pairs = [(i, j) for i in range(k) for j in range(k)]
-    goal, chain, safe, last, eager = np.array(targets, float), [], None, np.inf, True
+    goal, chain, safe, last, eager, stalled = np.array(targets, float), [], None, np.inf, True, 0
     now = scored.withColumn("rate", F.lit(1.0))
     for _ in range(steps):
         rate = _stepped(F.col("rate"), chain)
@@ -123,6 +129,9 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
         miss = np.abs(totals - goal).max()
         if miss <= tolerance * goal.sum():
             break
+        stalled = 0 if miss < 0.999 * last else stalled + 1
+        if stalled > PATIENCE:  # targets that no rates meet: this is as near as it gets
+            break
         eager = eager and miss < last
         last = min(last, miss)
         chain.append([float(x) for x in (metric if eager else safe) @ (totals - goal)])
