@@ -26,11 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtide.llm.common import stored
-from voxtide.llm.shingles import blocks
+from voxtide.llm.shingles import column_blocks
 
 BUCKETS = 1 << 14
 #: Bounds of the fitting sample.
-PER_LANGUAGE, SAMPLE = 400, 4000
+PER_LANGUAGE, SAMPLE = 200, 2000
 CENTROIDS = 4
 UNKNOWN = "und"
 #: A text is rejected under this share of the least cosine, by their reach, that labelled texts have.
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
 
         for batch in batches:
             lang, h, take = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for first, part in blocks(batch.column(1).cast(pa.binary()).to_pylist()):
+            for first, part in column_blocks(batch.column(1)):
                 for i, (at, count) in enumerate(vectors(part), first):
                     df[at] += 1
                     total += 1
@@ -150,9 +150,11 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         df[r["at"]] = r["n"]
     model = Model(np.log((1 + total) / (1 + df)) + 0.05, [], np.zeros((0, BUCKETS)))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    few = facts.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]).withColumn("i", first).where(F.col("i") <= quota).orderBy("lang", "h").collect()
+    few = facts.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]).withColumn("i", first).where(F.col("i") <= quota).orderBy("lang", "h").select("lang", "at", "n").toArrow()
     found = []
-    by_lang = {lang: [(np.array(r["at"]), np.array(r["n"])) for r in few if r["lang"] == lang] for lang in sorted({r["lang"] for r in few})}
+    by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for i, lang in enumerate(few["lang"].to_pylist()):
+        by_lang.setdefault(lang, []).append((few["at"][i].values.to_numpy(), few["n"][i].values.to_numpy()))
     for lang, own in by_lang.items():
         x = np.zeros((len(own), BUCKETS), np.float32)
         for i, (at, count) in enumerate(own):
@@ -169,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x for _, part in blocks(batch.column(1).cast(pa.binary()).to_pylist()) for x in model.label(part)]
+            out = [x for _, part in column_blocks(batch.column(1)) for x in model.label(part)]
             lang, score, rejected = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -182,7 +184,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [not rejected for _, part in blocks(batch.column(place).cast(pa.binary()).to_pylist()) for _, _, rejected in model.label(part)]
+            out = [not rejected for _, part in column_blocks(batch.column(place)) for _, _, rejected in model.label(part)]
             yield batch.filter(pa.array(out, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

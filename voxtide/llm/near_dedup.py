@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from voxtide.llm.common import stored
 from voxtide.llm.components import components
-from voxtide.llm.shingles import band_keys, blocks, shingle_sets, superminhash
+from voxtide.llm.shingles import band_keys, blocks, column_blocks, shingle_sets, superminhash
 
 BANDS, ROWS = 42, 6
 #: Buckets of up to SMALL classes are compared in full; larger ones by their least member, then exactly.
@@ -42,8 +42,7 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for first, part in blocks(texts):
+            for first, part in column_blocks(batch.column(1)):
                 sets, bounds = shingle_sets(part, words)
                 size = np.diff(bounds)
                 some = size > 0
@@ -110,7 +109,7 @@ def settle(members: DataFrame, roots: DataFrame, docs: DataFrame, words: int, pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in blocks(batch.column(2).to_pylist()):
+            for first, part in column_blocks(batch.column(2)):
                 sets, bounds = shingle_sets(part, words)
                 size = np.diff(bounds)
                 columns = [np.repeat(batch.column(k).slice(first, len(part)).to_numpy(zero_copy_only=False), size) for k in (0, 1)]

@@ -17,6 +17,7 @@ gives an empty result; repeated rows are packed as separate documents.
 from __future__ import annotations
 
 import bisect
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
 from voxtide.llm.common import local_table, salted_rank, stored
 
 #: Distinct strings that a worker remembers the ids of (some 200 bytes each); emptied when full.
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 class ChunkTokenizer(dict):
@@ -83,7 +84,10 @@ class ChunkTokenizer(dict):
         return b"".join(map(self.__getitem__, text.split()))  # bytes split at ASCII white space only
 
 
-_loaded: dict[str, ChunkTokenizer] = {}
+@functools.cache
+def tokenizer(path: str) -> ChunkTokenizer:
+    """A worker's tokenizer: what it remembers serves all tasks that the worker runs."""
+    return ChunkTokenizer(path)
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -95,9 +99,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if path not in _loaded:
-            _loaded[path] = ChunkTokenizer(path)
-        encoder = _loaded[path]
+        encoder = tokenizer(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

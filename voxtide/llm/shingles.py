@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
-#: Text bytes that are hashed at a time (one longer text makes a longer block).
-BLOCK = 1 << 20
+#: Text bytes, and texts, that are hashed at a time (one longer text makes a longer block).
+BLOCK, TEXTS = 1 << 19, 512
 #: An unfilled register.
 UNFILLED = _U(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 & ~0x7 | 0x5  # odd; 5 modulo 8, so that its powers have the longest period
@@ -52,6 +53,14 @@ def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def column_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """``blocks`` of an Arrow column of texts; only a few texts at a time become Python objects."""
+    column = column.cast(pa.binary())
+    for at in range(0, len(column), TEXTS):
+        for first, run in blocks(column.slice(at, TEXTS).to_pylist()):
+            yield at + first, run
+
+
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of each text's distinct shingles, ascending within a text, and the n+1 text bounds.
 
