@@ -31,7 +31,7 @@ from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
 from voxtide.llm.common import local_table, salted_rank, stored
 
 #: Distinct strings that a worker remembers the ids of (some 200 bytes each); emptied when full.
-MEMO = 300_000
+MEMO = 1_000_000
 
 
 class ChunkTokenizer(dict):
@@ -58,6 +58,10 @@ class ChunkTokenizer(dict):
         others = [b for b in range(256) if b not in self.SELF]
         self.letters = {b: chr(b) for b in self.SELF} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def _library(self, chunk: bytes) -> bytes:
         return np.array(self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -69,8 +73,7 @@ class ChunkTokenizer(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) + len(self.pieces) >= MEMO:
-            self.clear()
-            self.pieces.clear()
+            self.forget()
         text = chunk.decode("utf-8", "replace")
         if text.isprintable() and max(text) <= "\xff" and "<|" not in text:
             ids = b"".join([self._piece(x) for x in self.split(text.lower())])
@@ -86,7 +89,7 @@ class ChunkTokenizer(dict):
 
 @functools.cache
 def tokenizer(path: str) -> ChunkTokenizer:
-    """A worker's tokenizer: what it remembers serves all tasks that the worker runs."""
+    """A worker's tokenizer, loaded once."""
     return ChunkTokenizer(path)
 
 
@@ -100,6 +103,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encoder = tokenizer(path)
+        encoder.forget()  # what other tasks have left: the memory is for one task at a time
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -112,6 +116,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         for column, value in zip(rows, values, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+        encoder.forget()
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, out)
