@@ -56,6 +56,23 @@ def test_mix_finds_toxic_documents(spark):
     assert (toxic == (scored.toxic == 1)).mean() > 0.9 and scored.rate[toxic].mean() < 0.3
 
 
+def test_mix_takes_no_label_without_a_document(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), mixing.quality_domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    gone = spark.range(10**9, 10**9 + 2000).select(F.col("id").alias("doc_id"), F.lit("toxic").alias("domain"))
+    weights = {"high": 1, "low": 1, "toxic": 0.1}
+    want, got = (mixing.mix(docs, x, weights, of_present=True).orderBy("doc_id").toPandas() for x in (labels, labels.unionByName(gone)))
+    assert (got.domain == want.domain).all() and np.allclose(got.p.tolist(), want.p.tolist())
+
+
+def test_mix_does_not_thin_a_rare_domain(spark):
+    rows = [(i, ("common " if i >= 40 else "rare ") + ("plain" if i % 2 else "words"), "b" if i >= 40 else "a") for i in range(4000)]
+    all_rows = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.fit(all_rows.drop("domain"), all_rows.drop("text"), ["a", "b"], sample=400)
+    assert {r["word"] for r in model.table.collect()} >= {"rare", "common"}
+    got = mixing.posteriors(all_rows, model).join(all_rows, "doc_id").where((F.col("p")[0] > 0.5) != (F.col("domain") == "a"))
+    assert got.count() == 0
+
+
 def test_mix_cases(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, "a"), (6, "b"), (99, "a"), (8, None)], "doc_id long, domain string")

@@ -1,7 +1,7 @@
 """Mixing documents to target domain weights by soft membership (DataFrame functions only).
 
-1. A naive Bayes classifier over word presence is fitted on a bounded, hash-drawn sample of ``FIT_DOCS`` labelled documents; its model
-   is at most ``WORDS`` of the most telling words, so it may be broadcast.
+1. A naive Bayes classifier over word presence is fitted on a bounded, hash-drawn sample of ``FIT_DOCS`` labelled documents that are in
+   the input, drawn evenly over the domains, rare ones whole; its model is at most ``WORDS`` of the most telling words, so it may be broadcast.
 2. Every document gets posteriors over the domains from its whole text, and its number of words.
 3. Nonnegative rates r (expected copies of a document) are fitted so that the expected tokens of each domain, the sum of
    r * tokens * posterior, meet the targets: projected gradient on the least squares, from r = 1. With
@@ -13,7 +13,8 @@ Scale: texts are never shuffled; the shuffles carry a row of K numbers a documen
 or domain, so a domain of any share of the rows is spread like the others.
 
 Defined cases: a null text, or one without words, has no tokens, the prior as posteriors, and its rate like
-others; rows repeating a doc_id are scored as one document; a null doc_id is scored by the prior; an empty table
+others; rows repeating a doc_id are scored as one document; a label without a document is
+left out, a doc_id of several labels has the least; a null doc_id is scored by the prior; an empty table
 gives an empty result; without labelled documents the targets' weights are the posteriors; a domain that no
 document belongs to is left out of the fit.
 """
@@ -50,29 +51,44 @@ class Classifier:
     table: DataFrame | None  # word, w: array of a log-likelihood ratio for each domain, 0 where the word doesn't tell
 
 
+def _quotas(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """How many of each domain are drawn: small domains whole, the others evenly, ``sample`` in all."""
+    quotas, left = {}, float(sample)
+    for i, d in enumerate(sorted(sizes, key=lambda d: (sizes[d], d))):
+        quotas[d] = min(float(sizes[d]), left / (len(sizes) - i))
+        left -= quotas[d]
+    return quotas
+
+
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = FIT_DOCS) -> Classifier:
     """``labelled``: doc_id, domain."""
-    label = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias("_id"), "domain")
+    here = docs.select(F.col(id_col).alias("_id"))  # a label without a document would count as a document without words
+    label = labelled.where(F.col("domain").isin(domains)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("domain").alias("domain"))
+    label = stored(label.join(here, "_id", "left_semi"), "labels")
     sizes = {r["domain"]: r["n"] for r in label.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
         return Classifier(domains, [0.0] * len(domains), None)
-    share = min(1.0, sample / total)
-    drawn = stored(label.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["_id"]), "labelled")
-    rows = docs.join(drawn, docs[id_col] == drawn["_id"]).select("domain", F.explode(words(F.col(text_col))).alias("word"))
+    share = F.create_map(*[F.lit(x) for d, q in _quotas(sizes, sample).items() for x in (d, q / sizes[d])])
+    drawn = stored(label.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share[F.col("domain")] * (1 << 30)), "labelled")
+    found = docs.join(drawn, docs[id_col] == drawn["_id"])
+    rows = found.select("_id", "domain", F.explode(words(F.col(text_col))).alias("word")).distinct()
     n = {r["domain"]: r["n"] for r in drawn.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     each = [F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)]
     counts = rows.groupBy("word").agg(F.count("*").alias("c"), *each).where(F.col("c") >= LEAST_DOCS)
-    every = sum(n.values())
     tells, ratios = [], []
     for k, d in enumerate(domains):
-        own, other = n.get(d, 0), every - n.get(d, 0)
-        if not own or not other:
+        own, rest = n.get(d, 0), [(j, e) for j, e in enumerate(domains) if e != d and n.get(e)]
+        if not own or not rest:
             ratios.append(F.lit(0.0))
             continue
-        inside, outside = (F.col(f"c{k}") + 0.5) / (own + 1.0), (F.col("c") - F.col(f"c{k}") + 0.5) / (other + 1.0)
-        mean = F.col("c") / float(every)
-        tells.append(F.abs(inside - outside) / F.sqrt(mean * (1 - mean) * (1.0 / own + 1.0 / other) + 1e-12))
+        # Domains are drawn at different shares: elsewhere each counts by its size, as that many documents drawn evenly would.
+        size = sum(sizes[e] for _, e in rest)
+        other = size * size / sum(sizes[e] ** 2 / n[e] for _, e in rest)
+        there = sum((F.col(f"c{j}") * (sizes[e] / n[e]) for j, e in rest), F.lit(0.0)) * (other / size)
+        inside, outside = (F.col(f"c{k}") + 0.5) / (own + 1.0), (there + 0.5) / (other + 1.0)
+        mean = (F.col(f"c{k}") + there) / float(own + other)
+        tells.append(F.abs(inside - outside) / F.sqrt(mean * F.greatest(F.lit(0.0), 1 - mean) * (1.0 / own + 1.0 / other) + 1e-12))
         ratios.append(F.when(tells[-1] >= TELLING, F.greatest(F.lit(AGAINST), F.log(inside / outside))).otherwise(0.0))
     tell = F.greatest(*tells) if len(tells) > 1 else tells[0] if tells else F.lit(0.0)
     best = counts.select("word", tell.alias("tell"), F.array(*ratios).alias("w")).where(F.col("tell") >= TELLING)
