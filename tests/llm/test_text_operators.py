@@ -36,6 +36,16 @@ def test_language_cases(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_of_mostly_copies_is_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang").limit(100)
+    bits = ["der Hund läuft nach Hause", "die Straße ist groß", "wir fahren morgen früh", "das Kind spielt im Garten", "ein Haus steht am Fluss", "heute scheint die Sonne"]
+    copies = spark.range(10**6, 10**6 + 60_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, bits)), (F.col("id") % 6 + 1).cast("int")).alias("text"), F.lit("xx").alias("lang"))
+    model = langid.fit(docs.unionByName(copies), F.lit(True))
+    assert set(model.languages) == {"en", "xx"} and model.languages.count("xx") == langid.CENTROIDS
+    wordless = spark.createDataFrame([(1, "123", "en"), (2, "...", "en")], docs.schema)
+    assert langid.fit(wordless, F.lit(True)).languages == []
+
+
 # Mixing
 
 

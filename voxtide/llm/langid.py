@@ -8,7 +8,7 @@ bound, growing with its number of n-grams, that is learned from the labelled tex
 
 The document frequencies cover every labelled text (partial sums in each task, ``BUCKETS`` numbers in all);
 the centroids are fitted on a bounded sample of distinct texts: ``PER_LANGUAGE`` of a language and ``SAMPLE``
-over all languages, drawn by a hash of the text. Prediction is one narrow pass without a shuffle.
+over all languages, drawn by a hash of the text at a share of the language's distinct texts with a letter, so copies take no place. Prediction is one narrow pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled
 text everything is ``und``; repeated rows get equal results; only the text is read for a prediction.
@@ -31,6 +31,8 @@ from voxtide.llm.shingles import column_blocks
 BUCKETS = 1 << 14
 #: Bounds of the fitting sample.
 PER_LANGUAGE, SAMPLE = 200, 2000
+#: Texts drawn beyond twice the quota, so that small quotas are met as well.
+SPARE = 30
 CENTROIDS = 4
 UNKNOWN = "und"
 #: A text is rejected under this share of the least cosine, by their reach, that labelled texts have.
@@ -114,12 +116,13 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     """Learn from the text and language of the rows where ``learn`` holds and the language isn't null."""
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("text").alias("n")).collect() if r["n"]}
+    key = F.xxhash64("text")
+    distinct = F.approx_count_distinct(F.when(F.col("text").rlike(r"\p{L}"), key)).alias("n")  # texts, not rows: copies are drawn once
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct).collect() if r["n"]}
     if not sizes:
         return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)))
     quota = max(2, min(per_language, sample // len(sizes)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * quota / n))])
-    key = F.xxhash64("text")
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * quota + SPARE) / n))])
     drawn = (F.pmod(key, F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30)).alias("drawn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +164,8 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
             x[i, at] = model.weigh(at, count)
         found.append(_kmeans(x, clusters))
         model.languages += [lang] * len(found[-1])
+    if not found:  # letters that only one of Java and Python knows
+        return model
     model.centroids = np.vstack(found).astype(np.float64)
     model.bound = MARGIN * min(model.nearest(at, count)[1] / model.reach(len(at)) for own in by_lang.values() for at, count in own)
     return model
