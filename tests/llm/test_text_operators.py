@@ -46,6 +46,24 @@ def test_language_of_mostly_copies_is_learned(spark):
     assert langid.fit(wordless, F.lit(True)).languages == []
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    rng = random.Random(1)
+    others = [
+        "Il gatto dorme sul divano mentre la pioggia cade lentamente sulla città e i bambini giocano nella stanza accanto con le loro macchinine colorate.",
+        "Kissa nukkuu sohvalla, kun sade putoaa hitaasti kaupungin ylle ja lapset leikkivät viereisessä huoneessa värikkäillä autoillaan.",
+        "Kedi kanepede uyurken yağmur şehrin üzerine yavaşça yağıyor ve çocuklar yan odada renkli arabalarıyla oynuyorlar.",
+        "Kot śpi na kanapie, podczas gdy deszcz powoli pada na miasto, a dzieci bawią się w sąsiednim pokoju kolorowymi samochodzikami.",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000)),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000)),
+    ]
+    for folder in (SF, "/root/testdata/sf0.1"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        model = langid.fit(docs, langid.learnable())
+        strange = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")
+        assert all(r["rejected"] for r in langid.predict(strange, model).collect())
+        assert langid.predict(docs, model).where("rejected").count() == 0
+
+
 # Mixing
 
 

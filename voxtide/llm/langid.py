@@ -3,8 +3,10 @@
 A text's vector holds, for every bucket of its hashed 2- to 4-grams (of lower-cased bytes, other than
 letters as one space), (1 + ln count) * idf, scaled to unit length. Each language has several
 unit centroids, found by spherical k-means; the language of the centroid with the largest cosine is the
-prediction, and that cosine its score. A text too far from every centroid is rejected: its cosine is under a
-bound, growing with its number of n-grams, that is learned from the labelled texts, or it has no letter at all.
+prediction, and that cosine its score. A text too far from every centroid is rejected: its cosine is for each language under
+the language's bound, growing with the text's number of n-grams, or it has no letter at all. The bound is learned from what
+cosines labelled texts have with centroids fitted on others: a share ``MARGIN`` of their ``LOW`` quantile, so that one odd text
+doesn't set it. A text of few n-grams, which cosines can't tell, is rejected too if most of its letters are in no fitted text.
 
 The document frequencies cover every labelled text (partial sums in each task, ``BUCKETS`` numbers in all);
 the centroids are fitted on a bounded sample of distinct texts: ``PER_LANGUAGE`` of a language and ``SAMPLE``
@@ -35,8 +37,13 @@ PER_LANGUAGE, SAMPLE = 200, 2000
 SPARE = 30
 CENTROIDS = 4
 UNKNOWN = "und"
-#: A text is rejected under this share of the least cosine, by their reach, that labelled texts have.
-MARGIN = 0.25
+#: A text is rejected under this share of the low quantile of the cosines, by their reach, of a language's labelled texts. Short and
+#: odd texts of a language come down to 0.4 of the quantile, other Latin-script languages and random letters up to 0.25.
+LOW, MARGIN = 0.05, 0.32
+#: Under so many distinct n-grams (about 100 letters) the bound shrinks with them: a name or a key in a short text outweighs its words.
+SURE = 256
+#: With fewer texts a language has no quantile of its own; the least bound of the others holds.
+FEW = 20
 
 _CLEAN = np.full(256, 0x20, np.uint8)
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -69,7 +76,8 @@ class Model:
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    bound: float = 0.0  # least cosine of a text by its reach
+    bounds: np.ndarray  # of each centroid: least cosine of a text by its reach
+    letters: frozenset[str] = frozenset()  # of the fitted texts
 
     @staticmethod
     def reach(grams: int) -> float:
@@ -81,10 +89,16 @@ class Model:
         norm = np.sqrt((w * w).sum())
         return w / norm if norm else w
 
-    def nearest(self, at: np.ndarray, count: np.ndarray) -> tuple[int, float]:
+    def nearest(self, at: np.ndarray, count: np.ndarray) -> tuple[int, float, bool]:
+        """(centroid, cosine, whether the text is too far from all centroids)."""
         cosine = self.centroids[:, at] @ self.weigh(at, count)
         best = int(cosine.argmax())
-        return best, float(min(max(cosine[best], 0.0), 1.0))
+        return best, float(min(max(cosine[best], 0.0), 1.0)), bool((cosine < self.bounds * self.reach(len(at)) * min(1.0, len(at) / SURE)).all())
+
+    def strange(self, text: bytes) -> bool:
+        """Whether most of a text's letters are in no fitted text."""
+        known = [c in self.letters for c in text.decode("utf-8", "replace").lower() if c.isalpha()]
+        return 2 * sum(known) < len(known)
 
     def label(self, texts: list[bytes]) -> Iterator[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -92,8 +106,8 @@ class Model:
             if not self.languages or not has_letter(text):
                 yield UNKNOWN, 0.0, True
             else:
-                best, score = self.nearest(at, count)
-                yield self.languages[best], score, score < self.bound * self.reach(len(at))
+                best, score, far = self.nearest(at, count)
+                yield self.languages[best], score, far or len(at) < SURE and self.strange(text)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -112,6 +126,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centre
 
 
+def _bound(x: np.ndarray, reach: np.ndarray, clusters: int) -> float | None:
+    """Least cosine, by reach, of a language's texts: each half of them is held against centroids of the other."""
+    if len(x) < FEW:
+        return None
+    far = [((x[i::2] @ _kmeans(x[1 - i :: 2], clusters).T).max(axis=1) / reach[i::2]) for i in (0, 1)]
+    return MARGIN * float(np.quantile(np.concatenate(far), LOW))
+
+
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, clusters: int = CENTROIDS) -> Model:
     """Learn from the text and language of the rows where ``learn`` holds and the language isn't null."""
     spark = docs.sparkSession
@@ -120,7 +142,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     distinct = F.approx_count_distinct(F.when(F.col("text").rlike(r"\p{L}"), key)).alias("n")  # texts, not rows: copies are drawn once
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct).collect() if r["n"]}
     if not sizes:
-        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)))
+        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)), np.zeros(0))
     quota = max(2, min(per_language, sample // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * quota + SPARE) / n))])
     drawn = (F.pmod(key, F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30)).alias("drawn")
@@ -129,8 +151,8 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         """The drawn texts' counts, and at the end one row without a language: the task's document frequencies."""
         df, total, seen = np.zeros(BUCKETS, np.int64), 0, set()
 
-        def row(lang, h, at, count):
-            return pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "h": pa.array([h], pa.int64()), "at": pa.array([at], pa.list_(pa.int32())), "n": pa.array([count], pa.list_(pa.int64()))})
+        def row(lang, h, at, count, letters=""):
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "h": pa.array([h], pa.int64()), "at": pa.array([at], pa.list_(pa.int32())), "n": pa.array([count], pa.list_(pa.int64())), "letters": pa.array([letters], pa.string())})
 
         for batch in batches:
             lang, h, take = (batch.column(i).to_pylist() for i in (0, 2, 3))
@@ -140,21 +162,21 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
                     total += 1
                     if take[i] and (lang[i], h[i]) not in seen and has_letter(part[i - first]):
                         seen.add((lang[i], h[i]))
-                        yield row(lang[i], h[i], at, count)
+                        yield row(lang[i], h[i], at, count, "".join(sorted({c for c in part[i - first].decode("utf-8", "replace").lower() if c.isalpha()})))
         at = np.flatnonzero(df)
         yield row(None, total, at, df[at])
 
-    facts = stored(rows.where("text IS NOT NULL").select("lang", "text", key.alias("h"), drawn).mapInArrow(run, "lang string, h long, at array<int>, n array<long>"), "langid")
+    facts = stored(rows.where("text IS NOT NULL").select("lang", "text", key.alias("h"), drawn).mapInArrow(run, "lang string, h long, at array<int>, n array<long>, letters string"), "langid")
     partial = facts.where("lang IS NULL")
     total = partial.agg(F.sum("h")).first()[0]
     df = np.zeros(BUCKETS)
     each = partial.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
     for r in each.collect():  # BUCKETS rows
         df[r["at"]] = r["n"]
-    model = Model(np.log((1 + total) / (1 + df)) + 0.05, [], np.zeros((0, BUCKETS)))
+    model = Model(np.log((1 + total) / (1 + df)) + 0.05, [], np.zeros((0, BUCKETS)), np.zeros(0))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    few = facts.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]).withColumn("i", first).where(F.col("i") <= quota).orderBy("lang", "h").select("lang", "at", "n").toArrow()
-    found = []
+    few = facts.where("lang IS NOT NULL").dropDuplicates(["lang", "h"]).withColumn("i", first).where(F.col("i") <= quota).orderBy("lang", "h").select("lang", "at", "n", "letters").toArrow()
+    found, bounds = [], []
     by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for i, lang in enumerate(few["lang"].to_pylist()):
         by_lang.setdefault(lang, []).append((few["at"][i].values.to_numpy(), few["n"][i].values.to_numpy()))
@@ -163,11 +185,14 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         for i, (at, count) in enumerate(own):
             x[i, at] = model.weigh(at, count)
         found.append(_kmeans(x, clusters))
+        bounds += [_bound(x, np.array([model.reach(len(at)) for at, _ in own]), clusters)] * len(found[-1])
         model.languages += [lang] * len(found[-1])
     if not found:  # letters that only one of Java and Python knows
         return model
     model.centroids = np.vstack(found).astype(np.float64)
-    model.bound = MARGIN * min(model.nearest(at, count)[1] / model.reach(len(at)) for own in by_lang.values() for at, count in own)
+    model.letters = frozenset("".join(few["letters"].to_pylist()))
+    least = min((b for b in bounds if b is not None), default=0.0)
+    model.bounds = np.array([least if b is None else b for b in bounds])
     return model
 
 
