@@ -259,6 +259,30 @@ def test_html_layout(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<p class="a"">Hello one</p><p class="b"">World two</p>', "Hello one\n\nWorld two"),
+        ("<a title=it's>visible words</a> don't <b>stop", "visible words don't stop"),
+        ("<!-->shown text<!-- c -->", "shown text"),
+        ("<!--->shown<!-- a --!> too", "shown too"),
+        ('<a href="x>y" title=\'>\' b = c>in</a>', "in"),
+        ("<p a=>b", "b"),
+        ("<math><mi>x</mi><annotation>no</annotation></math> <svg><title>no</title><defs>no</defs><text>one</text><text>two</text></svg>", "x one two"),
+        ("<div>" * 200 + "<b hidden>no<i>no</i></b>yes<p hidden>no<p>yes" + "</div>" * 200 + "<b>end", "yes\nyes\nend"),
+        ("<div>" * 118 + "<section hidden>" + "<b>" * 9 + "no" + "</b>" * 9 + "no</section>yes", "yes"),
+        ("<div hidden>" + "<b>" * 200 + "no" + "</b>" * 200 + "no</div>yes", "yes"),
+    ],
+)
+def test_html_loses_nothing_to_odd_markup(source, text):
+    assert re.sub("\n+", "\n", html_text.render(source)) == re.sub("\n+", "\n", text)
+
+
+def test_html_time_follows_length():
+    for bit in ('<a b="', "<a b='x\"", "<a " + "b=" * 3, "<i></b>", "<a b", "<!--", "<p hidden>"):
+        assert html_text.render(bit * 40_000) is not None
+
+
 def test_html_cases(spark):
     pages = spark.createDataFrame([(1, None, "t"), (1, None, "t"), (2, "", None), (None, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted((str(r["page_id"]), r["text"]) for r in html_text.extract(pages).where("page_id IS NULL OR page_id > 1").collect()) == [("2", ""), ("None", "x")]

@@ -3,10 +3,10 @@
 All visible text comes out, in reading order, as a browser would lay it out on a character grid: blocks are separated
 by line breaks (paragraph-like ones by an empty line), list items are marked and indented, table cells are
 aligned in columns, preformatted text keeps its white space. Hidden text (head, scripts, styles, templates, elements hidden by
-attribute or inline style, closed details and dialogs) does not.
+attribute or inline style, closed details and dialogs, media and their fallbacks, what SVG defines without drawing it) does not.
 
 A narrow pass: one page at a time, no shuffle. Time and memory follow the page's length: nesting is held to
-``DEPTH`` levels (deeper elements become flat, their text stays), and a cell pads its column up to ``PAD`` characters.
+``DEPTH`` levels (deeper elements become flat, their visible text stays), and a cell pads its column up to ``PAD`` characters.
 
 Defined cases: a null page has null text, an empty one empty text; broken markup never raises: what is
 no tag is text; repeated rows get equal results.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,9 @@ SPAN = 100
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template title noembed noframes iframe datalist area base link meta param source track rp object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template title noembed noframes iframe datalist area base link meta param source track rp object audio video canvas".split())
+#: What these draw nothing of by itself, or say twice.
+FOREIGN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset(["annotation", "annotation-xml"])}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure form fieldset menu xmp listing plaintext".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer header hgroup hr legend li main nav option optgroup search section summary caption".split())
 CLOSES_P = (BLOCK - frozenset("html body li dd dt option optgroup caption legend".split())) | frozenset(["hr"])
@@ -50,8 +53,11 @@ IMPLIED = {
 }
 IMPLIED |= {"tbody": IMPLIED["thead"], "tfoot": IMPLIED["thead"], "body": (frozenset(["head"]), frozenset())}
 
-_TAG = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A quote opens a value only right after "=", as in the HTML standard's attribute states; an unclosed one is part of a name.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?"
+_NAME = r"(?:=|[^\s/>=])[^\s/>=]*+"
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{re.sub(r'[(](?=[^?])', '(?:', _VALUE)})?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -88,6 +94,16 @@ def parse(source: str) -> Element:
     """The document's tree. End tags without a start are dropped (``</p>`` is an empty paragraph, ``</br>`` a break)."""
     root = Element("#root")
     stack, at, size = [root], 0, len(source)
+    deep: list[tuple[str, bool]] = []  # name of each open element past DEPTH, and whether it hides its text
+    names_deep: Counter[str] = Counter()
+    unseen = 0
+
+    def leave() -> str:
+        nonlocal unseen
+        name, hides = deep.pop()
+        names_deep[name] -= 1
+        unseen -= hides
+        return name
 
     def close(names: frozenset, scope: frozenset) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -103,7 +119,7 @@ def parse(source: str) -> Element:
     while at < size:
         found = _TAG.search(source, at)
         start = found.start() if found else size
-        if start > at:
+        if start > at and not unseen:
             stack[-1].children.append(html.unescape(source[at:start]) if "&" in source[at:start] else source[at:start])
         if not found:
             break
@@ -112,23 +128,35 @@ def parse(source: str) -> Element:
             continue
         name = found[2].lower()
         if found[1]:
-            if name in ("p", "br"):
+            if names_deep[name]:
+                while leave() != name:
+                    pass
+                continue
+            if name in ("p", "br") and not unseen:
                 if name == "br" or not any(e.name == "p" for e in stack):
                     stack[-1].children.append(Element(name))
                     continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     del stack[i:]
+                    while deep:
+                        leave()
                     break
                 if stack[i].name in CELLS | {"table"} and name not in CELLS | ROWS | GROUPS | {"table"}:
                     break
             continue
-        if name in CLOSES_P:
+        if deep:
+            closed = IMPLIED[name][0] if name in IMPLIED else frozenset()
+            while deep and (deep[-1][0] in closed or deep[-1][0] == "p" and name in CLOSES_P):
+                leave()
+        elif name in CLOSES_P:
             close(frozenset(["p"]), frozenset("td th table li dd dt button caption div section article".split()))
-        if name in IMPLIED:
+        if name in IMPLIED and not deep:
             close(*IMPLIED[name])
-        element = Element(name, found[3])
-        stack[-1].children.append(element)
+        drawn = any(name in unshown and (names_deep[e] or any(x.name == e for x in stack)) for e, unshown in FOREIGN.items())
+        element = Element(name, f" hidden {found[3]}" if drawn else found[3])
+        if not unseen:
+            stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             text = source[at : end.start() if end else size]
@@ -138,8 +166,12 @@ def parse(source: str) -> Element:
             element.children.append(source[at:])
             break
         elif name not in VOID and not found[3].endswith("/") or name not in VOID and name in BLOCK:
-            if len(stack) < DEPTH:
+            if len(stack) < DEPTH and not deep:
                 stack.append(element)
+            else:
+                deep.append((name, element.hidden()))
+                names_deep[name] += 1
+                unseen += deep[-1][1]
     return root
 
 
@@ -256,7 +288,7 @@ def _into(flow: Flow, children: list[Element | str], pre: bool, depth: int) -> N
             flow.gap(child.name in SPACED)
             _into(flow, child.children, pre, depth)
             flow.gap(child.name in SPACED)
-        elif child.name in CELLS:  # a cell outside any table
+        elif child.name in CELLS or child.name == "text":  # a cell outside any table, a text of a drawing
             flow.text(" ")
             _into(flow, child.children, pre, depth)
             flow.text(" ")
