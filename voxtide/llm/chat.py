@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtide.llm.common import gives_back
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of common templates (fixed values); none has its own first character's match inside another.
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>", "<|endoftext|>", "<|startoftext|>", "<|eot_id|>", "<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<s>", "</s>", "<pad>", "<unk>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "[INST]", "[/INST]"]
@@ -159,7 +161,7 @@ def canonical_json(df: DataFrame, json_col: str) -> DataFrame:
             out = [r for raw in batch.column(0).to_pylist() for r in rows(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return df.select(F.col(json_col).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(json_col).cast("string")).mapInArrow(gives_back(run), schema)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -216,4 +218,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(now.row(), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(gives_back(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

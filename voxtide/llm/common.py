@@ -1,10 +1,16 @@
-"""Helpers shared by the corpus operators: shared storage, salted ranks, sessions without storage."""
+"""Helpers shared by the corpus operators: shared storage, key filters, salted ranks, workers that give memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,13 +20,21 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 2048
 
 
+#: Rows and bytes of an Arrow batch while an intermediate table is written: what a worker and its executor hold of the input at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: 64-bit words of a key filter: 16 bits a key, and at most 4 MB.
+FILTER_WORDS = 1 << 19
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test session) gets a temporary folder of its own.
+    Only a local session that names none gets a temporary folder of its own; on a cluster that would lose rows, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -35,8 +49,79 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans that run Python workers hand them batches of at most ``BATCH``."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over Arrow batches; when its task ends, memory that it has freed goes back to the system.
+
+    Workers outlive their tasks: what an allocator keeps of one stage would be missing in the next.
+    """
+
+    @functools.wraps(run)
+    def lean(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return lean
+
+
+def maybe_among(columns: list[Column], keys: DataFrame, words: int = FILTER_WORDS) -> Column:
+    """False only where the values of ``columns`` are none of the rows of ``keys``: a Bloom filter of two bits in one word.
+
+    It has 16 bits a key and at most ``words`` words, whatever the number of keys; with more keys it lets more rows through,
+    which costs a join its advantage and never its rows. The driver holds the words alone.
+    """
+    spark = keys.sparkSession
+    size, n = 64, keys.count()
+    while size < words and size * 4 < n:
+        size *= 2
+
+    def placed(values: list[Column]) -> tuple[Column, Column]:
+        h = F.xxhash64(*values)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, n).bitwiseAND(63).cast("int")) for n in (40, 48)]
+        return F.pmod(h, F.lit(size)).cast("int"), bits[0].bitwiseOR(bits[1])
+
+    at, mask = placed([F.col(c) for c in keys.columns])
+    found = keys.select(at.alias("at"), mask.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
+    one = spark.createDataFrame(pa.table({"words": pa.array([table], pa.list_(pa.int64()))}), "words array<long>")
+    at, mask = placed(columns)
+    return F.get(one.scalar(), at).bitwiseAND(mask) == mask
 
 
 def local_table(spark: SparkSession, schema: str, **columns) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.llm.common import gives_back
+
 DEPTH = 120
 PAD = 80
 SPAN = 100
@@ -415,4 +417,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 text = [None if x is None else render(x) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["page_id", "text"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(gives_back(run), "page_id long, text string")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import stored
+from voxtide.llm.common import gives_back, stored
 from voxtide.llm.shingles import column_blocks
 
 BUCKETS = 1 << 14
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         at = np.flatnonzero(df)
         yield row(None, total, at, df[at])
 
-    facts = stored(rows.where("text IS NOT NULL").select("lang", "text", key.alias("h"), drawn).mapInArrow(run, "lang string, h long, at array<int>, n array<long>, letters string"), "langid")
+    facts = stored(rows.where("text IS NOT NULL").select("lang", "text", key.alias("h"), drawn).mapInArrow(gives_back(run), "lang string, h long, at array<int>, n array<long>, letters string"), "langid")
     partial = facts.where("lang IS NULL")
     total = partial.agg(F.sum("h")).first()[0]
     df = np.zeros(BUCKETS)
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             lang, score, rejected = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(gives_back(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -217,7 +217,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             out = [not rejected for _, part in column_blocks(batch.column(place)) for _, _, rejected in model.label(part)]
             yield batch.filter(pa.array(out, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(gives_back(run), docs.schema)
 
 
 def learnable(id_col: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import stored
+from voxtide.llm.common import gives_back, stored
 
 #: Pixels of a row of a text's image, of three samples each.
 WIDTH = 64
@@ -165,4 +165,4 @@ def tiles(media: DataFrame, media_col: str = "media", side: int = TILE) -> DataF
 
     added = "media_bytes long, media_sha256 string, height long, width long, samples_bytes long, samples_sha256 string, tail_crc32 long, dhash string, tile binary, error string"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != media_col), added])
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(gives_back(run), schema)

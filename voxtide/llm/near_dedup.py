@@ -15,7 +15,8 @@ With 42 bands of 6 registers a pair at similarity 0.8 misses all bands with prob
 
 Defined cases: a text without words has no set and is linked with nothing; rows repeating a doc_id are
 one document, whose texts are linked; a null doc_id is never linked (component_id null, kept); an empty
-table gives an empty result; columns other than the two named are not touched.
+table gives an empty result; a very long text is one block of its own, hashed as a whole; columns other than the two
+named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,15 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import stored
+from voxtide.llm.common import discard, gives_back, maybe_among, stored
 from voxtide.llm.components import components
 from voxtide.llm.shingles import band_keys, blocks, column_blocks, shingle_sets, superminhash
 
 BANDS, ROWS = 42, 6
 #: Buckets of up to SMALL classes are compared in full; larger ones by their least member, then exactly.
 SMALL = 16
+#: Pairs that one copy of a text is compared in; classes of over 1/SLOTS of all rows are broadcast.
+STAR, SLOTS = 256, 1024
 
 
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -54,35 +58,61 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
                     names=["doc_id", "n_shingles", "set_digest", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, keys array<long>")
+    return docs.mapInArrow(gives_back(run), "doc_id long, n_shingles long, set_digest binary, keys array<long>")
 
 
 def _ratio(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids`` (doc_id), texts as bytes; what a filter of the ids clears is not shuffled."""
+    rows = docs.where(maybe_among([F.col("doc_id")], ids)).join(ids, "doc_id", "left_semi")
+    return rows.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, star: int = STAR) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    A text ``a`` of many pairs travels once for ``star`` of them: rows are dealt by (a, part), the text of ``a`` comes first, and the
+    texts of its partners stream past its set. So no task meets a whole star, and a worker holds one set and one block of texts.
+    """
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    texts = stored(fetched(docs, ids), "pair-texts")
+    stars = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > star).select(F.col("a").alias("_a"), F.ceil(F.col("n") / star).alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = stored(pairs.join(stars, F.col("a") == F.col("_a"), "left").select("a", part.alias("part"), "b"), "dealt-pairs")
+    centres = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    partners = dealt.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    rows = centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", "b")  # nulls first: the text of a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, "u8")  # rows come sorted by b: a popular b is hashed once
+        now, held = None, []  # the sets of the texts of a: one, but for rows that repeat an id
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 good = []
-                left = [x for _, part in blocks(batch.column(2).to_pylist()) for x in _each(part, words)]
-                for one, other in zip(left, batch.column(3).to_pylist(), strict=True):
-                    if other != last:
-                        last, held = other, shingle_sets([other or b""], words)[0]
-                    common = len(one) + len(held) - len(np.union1d(one, held)) if len(one) and len(held) else 0
-                    good.append(common > 0 and 100 * common >= percent * (len(one) + len(held) - common))
+                sets = [x for _, part in blocks(batch.column(3).to_pylist()) for x in _each(part, words)]
+                for a, part, b, one in zip(*(batch.column(i).to_pylist() for i in range(3)), sets, strict=True):
+                    if (a, part) != now:
+                        now, held = (a, part), []
+                    if b is None:
+                        held.append(one)
+                    good.append(b is not None and any(_alike(one, other, percent) for other in held))
                 mask = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = stored(rows.mapInArrow(gives_back(run), "a long, b long").distinct(), "links")
+    discard(ids, texts, dealt)
+    return out
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have the similarity asked for."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _each(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -115,17 +145,18 @@ def settle(members: DataFrame, roots: DataFrame, docs: DataFrame, words: int, pe
                 columns = [np.repeat(batch.column(k).slice(first, len(part)).to_numpy(zero_copy_only=False), size) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*columns, np.repeat(size, size), sets.view("i8"))], names=["id", "root", "n", "shingle"])
 
-    texts = docs.join(rest, docs["doc_id"] == rest["id"]).select("id", "root", F.col("text").cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(run, "id long, root long, n long, shingle long"), "open-sets")
+    texts = fetched(docs, rest.select(F.col("id").alias("doc_id")).distinct()).join(rest, F.col("doc_id") == F.col("id")).select("id", "root", "text")
+    rows = stored(texts.mapInArrow(gives_back(run), "id long, root long, n long, shingle long"), "open-sets")
     often = rows.groupBy("shingle").agg(F.count("*").alias("f"))
-    ranked = rows.join(often, "shingle").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    prefix = F.expr(f"slice(s, 1, CAST(n - (n * {percent} + 99) DIV 100 + 1 AS INT))")
-    tokens = ranked.select("id", "root", "n", F.posexplode(prefix).alias("at", "t")).where("t.f > 1").select("id", "root", "n", "at", F.col("t.shingle").alias("shingle"))
-    tokens = stored(tokens, "open-prefixes")
+    place = F.row_number().over(W.partitionBy("id", "root", "n").orderBy("f", "shingle")) - 1
+    prefix = rows.join(often, "shingle").withColumn("at", place).where(F.expr(f"at < n - (n * {percent} + 99) DIV 100 + 1")).where("f > 1")
+    tokens = stored(prefix.select("id", "root", "n", "at", "shingle"), "open-prefixes")
     x, y = tokens.alias("x"), tokens.alias("y")
     need = f"(100 + {percent}) * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)"
     near = F.expr(f"x.shingle = y.shingle AND x.id < y.id AND x.root != y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {need}")
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    out = stored(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "open-pairs")
+    discard(rest, rows, tokens)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
@@ -133,33 +164,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = stored(sketches(docs, words), "sketches")
     full = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = full.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
-    rows = full.join(least, (full["set_digest"] == least["set_digest"]) & (full["doc_id"] == least["rep"])).select(
-        F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).alias("x")
+    classes = stored(full.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    rows = full.join(classes, (full["set_digest"] == classes["set_digest"]) & (full["doc_id"] == classes["rep"])).select(
+        F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")
     )
     rows = stored(rows, "band-rows")
-    counted = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo.id < hi.id")
-    counted = stored(counted, "buckets")
-    twos = _pairs(counted.where("size = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y")), percent)
-    wide = stored(rows.join(counted.where("size > 2").select("key", "size", "lo"), "key"), "wide-buckets")
+    ends = [F.min("id").alias("lo"), F.min_by("n", "id").alias("n_lo"), F.max("id").alias("hi"), F.max_by("n", "id").alias("n_hi")]
+    counted = stored(rows.groupBy("key").agg(F.count("*").alias("size"), *ends).where("lo < hi"), "buckets")
+    twos = _pairs(counted.where("size = 2").select(F.struct(F.col("lo").alias("id"), F.col("n_lo").alias("n")).alias("x"), F.struct(F.col("hi").alias("id"), F.col("n_hi").alias("n")).alias("y")), percent)
+    member, least = F.struct("id", "n"), F.struct(F.col("lo").alias("id"), F.col("n_lo").alias("n"))
+    wide = stored(rows.join(counted.where("size > 2").select("key", "size", least.alias("lo")), "key").select("key", "size", "lo", member.alias("x")), "wide-buckets")
     few = wide.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("m"))
     few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
     many = wide.where(F.col("size") > small)
     pairs = stored(twos.unionByName(_pairs(few, percent)).unionByName(_pairs(many.select(F.col("lo").alias("x"), F.col("x").alias("y")), percent)).distinct(), "pairs")
-    links = stored(verified(pairs, docs, words, percent), "links")
+    discard(rows, counted)
+    links = verified(pairs, docs, words, percent)
     roots = components(links)
     more = settle(many.select("key", F.col("x.id").alias("id")), roots, docs, words, percent)
     if more is not None:
-        fresh = more.join(pairs, ["a", "b"], "left_anti")
-        links = stored(verified(stored(fresh, "pairs"), docs, words, percent).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "links")
-        roots = components(links)
-    return _labels(drawn, least, roots)
+        fresh = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = verified(fresh, docs, words, percent)
+        first, roots = roots, components(found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        discard(more, fresh, found, first)
+    discard(wide, pairs, links)
+    return _labels(drawn, classes, roots)
 
 
-def _labels(drawn: DataFrame, least: DataFrame, roots: DataFrame) -> DataFrame:
-    """Components of the classes' representatives, handed to every member by its class."""
-    classes = least.join(roots, least["rep"] == roots["node"], "left").select("set_digest", F.coalesce("root", "rep").alias("class_root"))
-    out = drawn.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left")
+def _labels(drawn: DataFrame, classes: DataFrame, roots: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Components of the classes' representatives, handed to every member by its class.
+
+    Classes of over 1/``slots`` of the rows (so at most ``slots``) are broadcast; members of the others meet in small groups.
+    """
+    rooted = stored(classes.join(roots, classes["rep"] == roots["node"], "left").select("set_digest", "rows", F.coalesce("root", "rep").alias("class_root")), "class-roots")
+    total = drawn.count()
+    heavy = F.col("rows") * slots > total
+    hot = F.broadcast(rooted.where(heavy).select("set_digest", F.col("class_root").alias("hot_root")))
+    members = drawn.select("doc_id", "n_shingles", "set_digest").withColumn("set_digest", F.when(F.col("n_shingles") > 0, F.col("set_digest")))
+    known = members.join(hot, "set_digest", "left")  # without words there is no class
+    settled = known.where("hot_root IS NOT NULL OR n_shingles = 0").withColumnRenamed("hot_root", "class_root")
+    rest = known.where("hot_root IS NULL AND n_shingles > 0").drop("hot_root").join(rooted.where(~heavy).select("set_digest", "class_root"), "set_digest", "left")
+    out = settled.unionByName(rest)
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_root")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

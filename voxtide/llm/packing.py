@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
-from voxtide.llm.common import local_table, salted_rank, stored
+from voxtide.llm.common import gives_back, local_table, salted_rank, stored
 
-#: Distinct strings that a worker remembers the ids of (some 200 bytes each); emptied when full.
-MEMO = 1_000_000
+#: Distinct strings that a worker remembers the ids of (some 200 bytes each), in each of two generations.
+MEMO = 100_000
 
 
 class ChunkTokenizer(dict):
@@ -51,6 +51,7 @@ class ChunkTokenizer(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}  # the generation before: what is met again moves over
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.pieces: dict[str, bytes] = {}
@@ -60,7 +61,8 @@ class ChunkTokenizer(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.pieces.clear()
+        self.old = {}
+        self.pieces = {}
 
     def _library(self, chunk: bytes) -> bytes:
         return np.array(self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,8 +74,14 @@ class ChunkTokenizer(dict):
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) + len(self.pieces) >= MEMO:
-            self.forget()
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        if len(self.pieces) >= MEMO:
+            self.pieces = {}
+        if (ids := self.old.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
         text = chunk.decode("utf-8", "replace")
         if text.isprintable() and max(text) <= "\xff" and "<|" not in text:
             ids = b"".join([self._piece(x) for x in self.split(text.lower())])
@@ -119,7 +127,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder.forget()
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(gives_back(pieces), out)
 
 
 def reduce_dominated(classes: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int], dict[int, int]]:

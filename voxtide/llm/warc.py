@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.llm.common import shared_dir, stored, unhex_sha256
+from voxtide.llm.common import gives_back, shared_dir, stored, unhex_sha256
 
 CHUNK = 1 << 18
 #: Payloads from this size on are written once and revisited.
@@ -108,7 +108,7 @@ def write_archives(chunks: DataFrame, folder: str | None = None, date: str = DAT
         if out is not None:
             yield closed()
 
-    return stored(chunks.mapInArrow(run, "archive string, records long"), "manifest")
+    return stored(chunks.mapInArrow(gives_back(run), "archive string, records long"), "manifest")
 
 
 class Inflated:
@@ -216,7 +216,7 @@ def read_archives(manifest: DataFrame, with_data: bool = True, chunk: int = CHUN
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     archives = manifest.select("archive")
-    return archives.repartition(max(1, archives.count()), "archive").mapInArrow(run, schema + ", data binary" * with_data)
+    return archives.repartition(max(1, archives.count()), "archive").mapInArrow(gives_back(run), schema + ", data binary" * with_data)
 
 
 def summaries(chunks: DataFrame) -> DataFrame:
