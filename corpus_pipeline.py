@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.llm import exact_dedup, langid, mixing, near_dedup, packing
-from voxtide.llm.common import shared_dir, stored
+from voxtide.llm.common import maybe_among, shared_dir, stored
 from voxtide.llm.queries import table, tokenizer_path
 
 #: What the domains' present expected totals of tokens are to change by.
@@ -35,7 +35,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the one with the least doc_id stays."""
     found = near_dedup.near_duplicates(docs, words=5, percent=80)
     gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    suspect = maybe_among([docs["doc_id"]], gone)  # the others stay where they are
+    return docs.where(~suspect).unionAll(docs.where(suspect).join(gone, docs["doc_id"] == gone["_gone"], "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
