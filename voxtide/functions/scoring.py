@@ -15,7 +15,9 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def decay(last_active: Column, as_of: Column, s: Settings = DEFAULTS) -> Column:
     """exp(-K * days since the last activity); never under 0 days, a missing activity counts as 14 days."""
-    days = F.coalesce(F.greatest(seconds_between(last_active, as_of), F.lit(0)) / 86400.0, F.lit(s.missing_activity_days))
+    # A case and no coalesce: greatest() skips nulls, and would make a missing activity a fresh one.
+    since = F.greatest(seconds_between(last_active, as_of), F.lit(0)) / 86400.0
+    days = F.when(last_active.isNull(), F.lit(s.missing_activity_days)).otherwise(since)
     return F.exp(F.lit(-s.decay_per_day) * days)
 
 

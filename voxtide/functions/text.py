@@ -15,9 +15,9 @@ LONG_NUMBER = r"(?U)(?<!\d)\d{5,}(?!\d)"
 AMOUNT = r"(?U)\d+(\.\d+)?元"
 #: Openings and punctuation that a fallback title is rid of.
 OPENING = r"^用户(?:表示|遇到|咨询|反映|说|称|需要|想|希望|尝试)?"
-PUNCTUATION = r"(?U)[，,。!！?？；;\s]+"
+PUNCTUATION = r"(?U)[，,。!！？?；;\s]+"
 #: What a keyword cell is split at, what a title keeps for word search.
-CELL = r"[^,^{}]+"
+CELL = r"[^,^{^}]+"
 NOT_WORD = r"[^0-9A-Za-z一-龥]"
 
 

@@ -171,7 +171,7 @@ def max_score_per_key(spark, sf_dir):
 
 DICTIONARY = [("R1", "line_a", "ring,rod", "red^blue"), ("R2", "line_b", " bolt ,gear{x}", None), ("R3", "line_c", "ring^widget", "hot,cold"), ("R4", "line_d", "", "small,,hot")]
 _DICTIONARY = "d(gm_code, goc_product_line, entity, action) AS (VALUES ('R1','line_a','ring,rod','red^blue'), ('R2','line_b',' bolt ,gear{x}',NULL), ('R3','line_c','ring^widget','hot,cold'), ('R4','line_d','','small,,hot'))"
-_CELL = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce({}, ''), '[^,^{{}}]+'), lambda x: upper(trim(x))), lambda x: x != '')))"
+_CELL = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce({}, ''), '[^,^{{^}}]+'), lambda x: upper(trim(x))), lambda x: x != '')))"
 _KEYWORDS = f"""{_DICTIONARY}, k AS (SELECT gm_code, goc_product_line, 1 AS tier, unnest({_CELL.format('entity')}) AS keyword FROM d
     UNION SELECT gm_code, goc_product_line, 2, unnest({_CELL.format('action')}) FROM d)"""
 _TOKENS = "list_slice(list_filter(regexp_extract_all(upper(p_name), '[0-9A-Z一-龥]+'), lambda w: length(w) > 1), 1, 10)"
@@ -301,7 +301,7 @@ def unclustered_dedup(spark, sf_dir):
     return rows.groupBy("title").agg(F.count("*").alias("voices")).withColumn("event_id", text.stable_id("unc", F.col("title")))
 
 
-@register(with_views("voice_lines") + r"""SELECT voice_channel, gm_code, arg_min(clean, (length(clean), id)) AS fallback_title FROM (SELECT *, coalesce(nullif(regexp_replace(title, '[，,。!！?？；;\s]+', '', 'g'), ''), title) AS clean FROM voice_lines) GROUP BY ALL""")
+@register(with_views("voice_lines") + r"""SELECT voice_channel, gm_code, arg_min(clean, (length(clean), id)) AS fallback_title FROM (SELECT *, coalesce(nullif(regexp_replace(title, '[，,。!！？?；;\s]+', '', 'g'), ''), title) AS clean FROM voice_lines) GROUP BY ALL""")
 def fallback_title(spark, sf_dir):
     clean = text.fallback_title(F.col("title"))
     return fx.voice_lines(spark, sf_dir).groupBy("voice_channel", "gm_code").agg(F.min_by(clean, F.struct(F.length(clean), "id")).alias("fallback_title"))
@@ -326,7 +326,7 @@ _SPLIT = '{"summaries":[{"text":"first","original_indices":[0,1,2]},{"text":"sec
 
 
 @register("""WITH m AS (SELECT n_regionkey AS cluster_id, n_nationkey AS id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos FROM nation),
-    f AS (SELECT cluster_id, arg_min(regexp_replace(n_name, '[，,。!！?？；;\\s]+', '', 'g'), (length(regexp_replace(n_name, '[，,。!！?？；;\\s]+', '', 'g')), pos)) AS fallback FROM m GROUP BY 1)
+    f AS (SELECT cluster_id, arg_min(regexp_replace(n_name, '[，,。!！？?；;\\s]+', '', 'g'), (length(regexp_replace(n_name, '[，,。!！？?；;\\s]+', '', 'g')), pos)) AS fallback FROM m GROUP BY 1)
     SELECT cluster_id, id, CASE WHEN cluster_id = 0 THEN 1 ELSE 0 END AS success, CASE WHEN cluster_id != 0 THEN fallback WHEN pos >= 2 THEN 'second' ELSE 'first' END AS batch_cluster_title,
         'sub' || substr(sha256(concat_ws('|', cluster_id, CASE WHEN cluster_id = 0 AND pos >= 2 THEN 1 ELSE 0 END)), 1, 24) AS sub_cluster_id FROM m JOIN f USING (cluster_id)""")
 def cluster_split(spark, sf_dir):
@@ -354,7 +354,7 @@ def embedding_cache_misses(spark, sf_dir):
 NOW = "2001-08-01"
 MATCH = Settings(decay_per_day=0.0005, decision_score=0.15, false_positive_distance=0.62)
 _SCORED = f"""k AS ({_KNN.replace(", 6)", ", 9)")}), act AS (SELECT o_orderkey AS hit_id, o_orderdate AS last_active FROM orders WHERE o_orderkey % 3 = 0),
-    d AS (SELECT query_id, hit_id, rank, round(1 - distance, 9) AS score, coalesce(greatest(epoch(TIMESTAMP '{NOW}') - epoch(last_active), 0) / 86400.0, 14.0) AS days FROM k LEFT JOIN act USING (hit_id)),
+    d AS (SELECT query_id, hit_id, rank, round(1 - distance, 9) AS score, CASE WHEN last_active IS NULL THEN 14.0 ELSE greatest(epoch(TIMESTAMP '{NOW}') - epoch(last_active), 0) / 86400.0 END AS days FROM k LEFT JOIN act USING (hit_id)),
     s AS (SELECT query_id AS cluster_id, hit_id AS risk_event_id, score, round(exp(-0.0005 * days), 4) AS time_decay_factor, round(score * exp(-0.0005 * days), 4) + 0.0 AS decision_score, rank FROM d),
     sr AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY decision_score DESC, rank) AS decision_rank FROM s)"""
 _FP = f"fp AS (SELECT q.vec_id AS cluster_id, min({_DISTANCE}) AS fp_distance FROM cluster_vectors q JOIN risk_event_kb b USING (gm_code) WHERE b.vec_id % 6 = 0 GROUP BY 1)"
