@@ -125,3 +125,31 @@ def test_shards_are_near_equal_beside_a_giant(spark):
     hot = sharding.shard(spark.createDataFrame([(i, "giant" * 50 if i % 2 else f"t{i}") for i in range(4000)], "doc_id long, text string"), 10).toPandas()
     sizes = sorted(hot.groupby("shard")["size"].sum())
     assert len(sizes) == 10 and sizes[-2] - sizes[0] <= 9 * 21  # each shard may fall short by less than a row
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_fit_is_that_of_single_items(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([30, 200, 4096])
+    classes = {rng.randint(1, capacity): rng.randint(1, 30) for _ in range(rng.randint(1, 40))}
+    rooms: list[int] = []
+    for size in sorted(classes, reverse=True):
+        for _ in range(classes[size]):
+            fits = [i for i, room in enumerate(rooms) if room >= size]
+            if fits:
+                rooms[min(fits, key=lambda i: rooms[i])] -= size
+            else:
+                rooms.append(capacity - size)
+    got = bins_of(best_fit_decreasing(classes, capacity))
+    assert sorted(capacity - sum(s for _, s in x) for x in got.values()) == sorted(rooms)
+
+
+def test_hot_rows_of_little_size(spark, monkeypatch):
+    """A third of the rows are empty texts beside long ones: few bytes, many rows; they are joined by broadcast."""
+    monkeypatch.setattr(sharding, "HEAVY", 16)
+    rows = [(i, "" if i % 3 == 0 else f"{i} " * 2000) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(frame, 5).toPandas()
+    assert len(got) == 900 and got[got["size"] == 16].shard.nunique() == 1
+    assert all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
+    assert got.groupby("shard")["size"].sum().max() <= 1.05 * got["size"].sum() / 5

@@ -1,24 +1,29 @@
 """Chat formatting: records of many layouts become canonical turns by their schema's fingerprint, and turns become one text
 with reversible escapes and a loss mask.
 
-* ``field_paths`` lists the nested field paths of a schema or of a JSON record; ``fingerprint`` hashes the sorted list. ``LAYOUTS``
-  maps a fingerprint to a declarative mapping: where the turns are and which fields hold the role and the text.
+* ``field_paths`` lists the nested field paths of a schema or of a JSON record; ``fingerprint`` hashes the sorted list. A
+  fingerprint selects one of the declarative mappings ``LAYOUTS``: where the turns are and which fields hold the role and the text.
 * ``canonical`` applies the mapping of a table's schema; ``canonical_json`` that of every JSON record by itself.
 * ``format_turns`` writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside a text or role
-  get a backslash after their first character (one more if it has some already), which ``unescape`` takes off.
-* ``read_back`` parses the formatted text again and digests it, streaming.
+  get a backslash after their first character (one more if it has some already), which ``unescape`` takes off; line breaks and
+  backslashes of a role are written as ``\\n``, ``\\r`` and two backslashes.
+* ``read_back`` finds the turns in the text of a conversation by their marks alone, whatever pieces it comes in, and digests
+  them, streaming.
 
 Scale: formatting is per turn, as DataFrame expressions. Only reading back needs a conversation's turns in order: rows
 are dealt by conversation and sorted, and a task streams over them with constant state, so even a
 conversation of a third of all rows is never held as a whole.
 
 Defined cases: a null text or role is empty; turns of equal number are ordered by role and text; repeated rows are repeated
-turns; an empty table gives an empty result; a JSON record that is broken or of no known layout goes
-out with ``error`` set and no turns; a null conversation id is a conversation of its own.
+turns; an empty table gives an empty result; an empty list of turns is a conversation without any, which leaves no row; a JSON
+record that is broken, of no known layout, or whose id is no 64-bit whole number goes out with ``error`` set and no turns; a null
+conversation id is a conversation of its own; a very long text is one turn, held once by its task; fields that no layout names are
+left out; where several layouts fit, that with most fields present counts, and of those the first listed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -48,6 +53,16 @@ def unescape(text: str) -> str:
     return re.sub(_UNESCAPE, "", text)
 
 
+def escape_role(role: Column) -> Column:
+    """``escape``, and on one line."""
+    line = F.replace(escape(role), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(line, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_role(role: str) -> str:
+    return unescape(re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), role))
+
+
 def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     """Nested field paths; ``[]`` for an array's elements."""
     if isinstance(schema, T.StructType):
@@ -100,7 +115,20 @@ def _layouts() -> Iterator[Layout]:
                 yield Layout(name, parts=(("system", ("system",)), ("user", user), ("assistant", (assistant,))))
 
 
-LAYOUTS = {fingerprint(x.paths()): x for x in _layouts()}
+LAYOUTS = list(_layouts())
+
+
+@functools.cache
+def layout_of(mark: str, paths: frozenset[str]) -> Layout | None:
+    """The layout that a fingerprint selects, of those whose fields are there (``paths``: what was fingerprinted); a message may lack its text."""
+
+    def needed(x: Layout) -> set[str]:
+        return {x.id, f"{x.turns}[].{x.role}"} if x.turns else set(x.paths())
+
+    fitting = [x for x in LAYOUTS if needed(x) <= paths or x.turns and {x.id, f"{x.turns}[]"} <= paths]
+    return max(fitting, key=lambda x: len(paths & set(x.paths())), default=None)  # the first of equals
+
+
 #: Names that mean a canonical role.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -117,13 +145,10 @@ def _mapped(layout: Layout, record: dict) -> list[tuple[str, str]]:
 
 def canonical(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table whose schema has a known layout; columns that the layout doesn't name are left out."""
-    columns = set(df.columns)
-    known = [x for x in LAYOUTS.values() if {p.split("[")[0] for p in x.paths()} <= columns]
-    print_of = {fingerprint([p for p in field_paths(df.schema) if p.split("[")[0].split(".")[0] in {q.split("[")[0] for q in x.paths()}]): x for x in known}
-    found = [LAYOUTS[h] for h in print_of if h in LAYOUTS]
-    if not found:
-        raise ValueError(f"no layout has the field paths {sorted(field_paths(df.schema))}")
-    layout = max(found, key=lambda x: len(x.paths()))
+    paths = frozenset(field_paths(df.schema))
+    layout = layout_of(fingerprint(paths), paths)
+    if layout is None:
+        raise ValueError(f"no layout has the field paths {sorted(paths)}")
     conv, empty = F.col(layout.id).cast("long").alias("conv_id"), F.lit("")
     if layout.number:
         return df.select(conv, F.col(layout.number).cast("long").alias("turn"), F.coalesce(layout.role, empty).alias("role"), F.coalesce(layout.text, empty).alias("text"))
@@ -131,7 +156,7 @@ def canonical(df: DataFrame) -> DataFrame:
         rows = df.select(conv, F.posexplode(layout.turns).alias("turn", "t"))
         role = F.coalesce(F.col(f"t.{layout.role}"), empty)
         named = F.coalesce(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[role], role)
-        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), named.alias("role"), F.coalesce(F.col(f"t.{layout.text}"), empty).alias("text"))
+        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), named.alias("role"), (F.coalesce(F.col(f"t.{layout.text}"), empty) if f"{layout.turns}[].{layout.text}" in paths else empty).alias("text"))
     parts = [F.struct(F.lit(r).alias("role"), F.array_join(F.filter(F.array(*fields), lambda x: x != ""), "\n\n").alias("text")) for r, fields in layout.parts]
     rows = df.select(conv, F.posexplode(F.filter(F.array(*parts), lambda p: (p.role != "system") | (p.text != ""))).alias("turn", "t"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
@@ -141,19 +166,29 @@ def canonical_json(df: DataFrame, json_col: str) -> DataFrame:
     """conv_id, turn, role, text, fingerprint, error: each JSON record by the layout of its own field paths."""
     schema = "conv_id long, turn long, role string, text string, fingerprint string, error string"
 
+    def turns(record: object, layout: Layout) -> list[tuple]:
+        conv = record[layout.id]
+        first = record[layout.number] if layout.number else 0
+        for number in (conv, first):
+            if isinstance(number, bool) or int(number) != (number if isinstance(number, float) else int(number)) or not -(1 << 63) <= int(number) < 1 << 63:
+                raise ValueError("an id or a turn that is no 64-bit whole number")
+        found = [(int(conv), i, role, text) for i, (role, text) in enumerate(_mapped(layout, record), int(first))]
+        for *_, role, text in found:
+            role.encode(), text.encode()  # lone surrogates are no text
+        return found
+
     def rows(raw: str | None) -> Iterator[tuple]:
         mark = None
         try:
             record = json.loads(raw or "")
-            mark = fingerprint(json_paths(record))
-            layout = LAYOUTS[mark]
-            first = int(record[layout.number]) if layout.number else 0
-            for i, (role, text) in enumerate(_mapped(layout, record), first):
-                yield int(record[layout.id]), i, role, text, mark, None
-        except KeyError:
-            yield None, None, None, None, mark, "no layout has this fingerprint"
-        except (ValueError, TypeError, AttributeError) as broken:
-            yield None, None, None, None, mark, f"{type(broken).__name__}: {broken}"[:200]
+            paths = frozenset(json_paths(record))
+            mark = fingerprint(paths)
+            layout = layout_of(mark, paths)
+            if layout is None:
+                raise ValueError("no layout has this fingerprint")
+            yield from [(*turn, mark, None) for turn in turns(record, layout)]
+        except (ValueError, TypeError, AttributeError, KeyError, OverflowError, RecursionError) as broken:
+            yield None, None, None, None, mark, f"{type(broken).__name__}: {broken}"[:200].encode("utf-8", "replace").decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -166,7 +201,7 @@ def canonical_json(df: DataFrame, json_col: str) -> DataFrame:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and the turn's formatted text, with the span of its text that the loss covers (code points; null: none)."""
-    role, text = escape(F.regexp_replace("role", r"[\r\n]+", " ")), escape(F.col("text"))
+    role, text = escape_role(F.col("role")), escape(F.col("text"))
     out = turns.withColumn("formatted", F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n")))
     trained = F.col("role") == "assistant"
     begin = F.length(role) + (len(START) + 1)
@@ -174,28 +209,50 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 class _Conversation:
-    """What is known of a conversation from its formatted turns so far."""
+    """What is known of a conversation from its formatted text so far; it comes in pieces of any size."""
 
     def __init__(self, conv: int | None) -> None:
         self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.held, self.at, self.seen = "", 0, 0  # text not yet parsed, its place in the conversation, how far it was searched
+        self.spans: list[tuple[int, int]] = []  # under the loss mask, by place in the conversation
 
     def add(self, formatted: str, loss_from: int | None, loss_to: int | None) -> None:
-        if not formatted.startswith(START) or not formatted.endswith(END + "\n"):
-            raise ValueError("a formatted turn without its marks")
-        role, _, text = formatted[len(START) : -len(END) - 1].partition("\n")
-        self.turns += 1
-        self.chars += len(formatted)
-        self.all.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
         if loss_from is not None:
-            under = unescape(formatted[loss_from:loss_to])
+            self.spans.append((self.chars + loss_from, self.chars + loss_to))
+        self.chars += len(formatted)
+        self.held = self.held + formatted if self.held else formatted
+        done, mark = 0, END + "\n"
+        while (end := self.held.find(mark, max(done, self.seen))) >= 0:
+            if not self.held.startswith(START, done):
+                raise ValueError("a formatted turn without its marks")
+            self._turn(done, end)
+            done = self.seen = end + len(mark)
+        self.seen = max(0, len(self.held) - done - len(mark) + 1)
+        self.held, self.at = self.held[done:], self.at + done
+
+    def _turn(self, begin: int, end: int) -> None:
+        role, _, text = self.held[begin + len(START) : end].partition("\n")
+        self.turns += 1
+        self.all.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
+        while self.spans and self.spans[0][1] <= self.at + end:
+            a, b = self.spans.pop(0)
+            under = unescape(self.held[a - self.at : b - self.at])
             self.loss_chars += len(under)
             self.loss.update(under.encode())
 
     def row(self) -> tuple:
+        if self.held or self.spans:
+            raise ValueError("the text of a conversation ends within a turn")
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns in a conversation's text."""
+    found = re.findall(rf"{re.escape(START)}([^\n]*)\n(.*?){re.escape(END)}\n", formatted, re.S)
+    return [(unescape_role(role), unescape(text)) for role, text in found]
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text and its loss spans alone."""
     rows = formatted.select("conv_id", "formatted", "loss_from", "loss_to", "turn", "role", "text")

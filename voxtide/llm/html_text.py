@@ -8,8 +8,9 @@ attribute or inline style, closed details and dialogs, media and their fallbacks
 A narrow pass: one page at a time, no shuffle. Time and memory follow the page's length: nesting is held to
 ``DEPTH`` levels (deeper elements become flat, their visible text stays), and a cell pads its column up to ``PAD`` characters.
 
-Defined cases: a null page has null text, an empty one empty text; broken markup never raises: what is
-no tag is text; repeated rows get equal results.
+Defined cases: a null page has null text, an empty one empty text; an empty table gives an empty result; broken markup never
+raises: what is no tag is text; very long and hostile pages take time in proportion to their length; a null page_id is kept as
+such; repeated rows get equal results; columns other than the two named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from voxtide.llm.common import gives_back
 
 DEPTH = 120
 PAD = 80
-SPAN = 100
+SPAN = 1000
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,21 +356,21 @@ def _table(table: Element, depth: int) -> list[str]:
 
     rows_of(table, parts["tbody"])
     grid: list[list[tuple[int, int, bool, list[str]]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
+    taken: list[tuple[int, int, int]] = []  # (first column, the one after, rows) that cells above still cover, by column
     for cells in parts["thead"] + parts["tbody"] + parts["tfoot"]:
-        row, column, below = [], 0, {}
+        row, column, below, past = [], 0, [], 0
         for cell in cells:
             if cell.hidden():
                 continue
-            while taken.get(column, 0) > 0:
-                column += 1
+            while past < len(taken) and taken[past][0] <= column:
+                column, past = max(column, taken[past][1]), past + 1
             wide, tall = cell.number("colspan", 1, 1, SPAN), cell.number("rowspan", 1, 1, 65534)
             right = (cell.get("align") or "").lower() == "right" or "text-align:right" in (cell.get("style") or "").replace(" ", "").lower()
             row.append((column, wide, right, lay_out(cell.children, False, depth)))
             if tall > 1:
-                below |= dict.fromkeys(range(column, column + wide), tall)
+                below.append((column, column + wide, tall))
             column += wide
-        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        taken = sorted((a, b, n - 1) for a, b, n in (*taken, *below) if n > 1)
         grid.append(row)
     widths: dict[int, int] = {}
     for span_first in (True, False):

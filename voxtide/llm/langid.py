@@ -10,10 +10,12 @@ doesn't set it. A text of few n-grams, which cosines can't tell, is rejected too
 
 The document frequencies cover every labelled text (partial sums in each task, ``BUCKETS`` numbers in all);
 the centroids are fitted on a bounded sample of distinct texts: ``PER_LANGUAGE`` of a language and ``SAMPLE``
-over all languages, drawn by a hash of the text at a share of the language's distinct texts with a letter, so copies take no place. Prediction is one narrow pass without a shuffle.
+over all languages (one text of each, if there are more languages), drawn by a hash of the text at a share of the language's distinct texts with a letter, so copies take no place. Prediction is one narrow pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled
-text everything is ``und``; repeated rows get equal results; only the text is read for a prediction.
+text everything is ``und``; an empty table gives an empty result; repeated rows get equal results; a very long text is counted as a
+whole; of centroids with equal cosine the first counts, by language; only the text is read for a prediction, and columns other than
+those named are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ class Model:
     def weigh(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[at]
         norm = np.sqrt((w * w).sum())
-        return w / norm if norm else w
+        return (w / norm if norm else w).astype(np.float32)
 
     def nearest(self, at: np.ndarray, count: np.ndarray) -> tuple[int, float, bool]:
         """(centroid, cosine, whether the text is too far from all centroids)."""
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct).collect() if r["n"]}
     if not sizes:
         return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)), np.zeros(0))
-    quota = max(2, min(per_language, sample // len(sizes)))
+    quota = max(1, min(per_language, sample // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * quota + SPARE) / n))])
     drawn = (F.pmod(key, F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30)).alias("drawn")
 
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
         model.languages += [lang] * len(found[-1])
     if not found:  # letters that only one of Java and Python knows
         return model
-    model.centroids = np.vstack(found).astype(np.float64)
+    model.centroids = np.vstack(found).astype(np.float32)
     model.letters = frozenset("".join(few["letters"].to_pylist()))
     least = min((b for b in bounds if b is not None), default=0.0)
     model.bounds = np.array([least if b is None else b for b in bounds])
@@ -199,7 +201,10 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             out = [x for _, part in column_blocks(batch.column(1)) for x in model.label(part)]
             lang, score, rejected = zip(*out, strict=True) if out else ((), (), ())
@@ -210,9 +215,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that aren't rejected, with all their columns, in one narrow pass."""
-    place = docs.columns.index(text_col)
+    place, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             out = [not rejected for _, part in column_blocks(batch.column(place)) for _, _, rejected in model.label(part)]
             yield batch.filter(pa.array(out, pa.bool_()))

@@ -5,13 +5,16 @@ Decoding is a narrow pass, one image at a time; no row is shuffled. ``store_text
 losslessly as 8-bit RGB images, made by DataFrame functions alone, to a media table in the shared folder.
 
 Defined cases: null bytes, or bytes that aren't an image of these formats, give a null array, hash and tile and the
-reason in ``error``; a null text is an empty one (one row of spaces); repeated rows get equal results.
+reason in ``error``; a null text is an empty one (one row of spaces); a null doc_id is kept as such; a very long text makes one tall
+image; an empty table gives an empty result; repeated rows get equal results. Other columns are handed on, but ``tiles`` raises
+ValueError if one has the name of a column that it adds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,12 +46,15 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_bytes"), image.alias("media")), "media", "zstd")
 
 
+_COMMENT = re.compile(rb"#[^\r\n]*")
+
+
 def _fields(data: bytes, n: int) -> tuple[list[int], int]:
     """The next n numbers of a Netpbm header (after its magic), and the place after the one white space that ends it."""
     found, at = [], 2
     while len(found) < n:
         while at < len(data) and (data[at : at + 1].isspace() or data[at] == 35):
-            at = data.index(b"\n", at) + 1 if data[at] == 35 else at + 1
+            at = _COMMENT.match(data, at).end() if data[at] == 35 else at + 1
         end = at
         while data[end : end + 1].isdigit():
             end += 1
@@ -57,41 +63,74 @@ def _fields(data: bytes, n: int) -> tuple[list[int], int]:
     return found, at + 1
 
 
+def _scaled(samples: np.ndarray, most: int, top: int) -> np.ndarray:
+    """Samples of 0 to ``most`` as 0 to ``top``, rounded; those that use the whole range stay as they are."""
+    if samples.size and int(samples.max()) > most:
+        raise ValueError("a sample above the image's maximum")
+    return samples if most == top else ((samples.astype(np.int64) * top + most // 2) // most).astype(samples.dtype)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as height x width x samples, 8 or 16 bits; bitmaps as 0 (black) and 255."""
+    """P1 to P6 as height x width x samples, scaled to the whole range of 8 or 16 bits; bitmaps as 0 (black) and 255."""
     kind = data[1] - 48
     if data[:1] != b"P" or not 1 <= kind <= 6:
         raise ValueError("not a Netpbm image")
     head, at = _fields(data, 2 if kind in (1, 4) else 3)
     (width, height), most = head[:2], head[2] if len(head) > 2 else 1
+    if not 1 <= most <= 65535:
+        raise ValueError("a maximum out of range")
     depth = 3 if kind in (3, 6) else 1
     if kind == 4:
         line = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(data, np.uint8, line * height, at).reshape(height, line), axis=1)[:, :width]
         return ((1 - bits) * 255)[:, :, None].astype(np.uint8)
+    plain = _COMMENT.sub(b" ", data[at - 1 :]) if kind <= 3 else b""
     if kind == 1:
-        bits = np.array([c - 48 for c in data[at - 1 :] if c in b"01"][: width * height], np.uint8)
+        bits = np.array([c - 48 for c in plain if c in b"01"][: width * height], np.uint8)
         return ((1 - bits) * 255).reshape(height, width, 1).astype(np.uint8)
-    wide = np.dtype(">u2") if most > 255 else np.dtype(np.uint8)
+    wide, top = (np.dtype(">u2"), 65535) if most > 255 else (np.dtype(np.uint8), 255)
     if kind > 3:
-        return np.frombuffer(data, wide, width * height * depth, at).reshape(height, width, depth)
-    return np.array(data[at - 1 :].split()[: width * height * depth], np.int64).astype(wide).reshape(height, width, depth)
+        return _scaled(np.frombuffer(data, wide, width * height * depth, at), most, top).reshape(height, width, depth)
+    samples = np.array(plain.split()[: width * height * depth], np.int64)
+    return _scaled(samples, most, top).astype(wide).reshape(height, width, depth)
+
+
+def _by_mask(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The samples under a bit mask, scaled to 8 bits."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((pixels.astype(np.uint64) & np.uint64(mask)) >> np.uint64(low)) * np.uint64(255) // np.uint64(most)).astype(np.uint8)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 1-, 4-, 8-bit (by palette), 24- and 32-bit BMP as height x width x 3, in RGB."""
-    start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if data[:2] != b"BM" or packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    """Uncompressed BMP, of the 12-byte header or a later one, as height x width x 3, in RGB: 1, 4 and 8 bits by palette, 16 and 32 bits by
+    masks (the usual ones if none are given), 24 bits."""
+    start, header = struct.unpack_from("<II", data, 10)
+    if data[:2] != b"BM":
+        raise ValueError("not a BMP image")
+    if header == 12:
+        (width, height, _, bits), packed, entry, colours = struct.unpack_from("<HHHH", data, 18), 0, 3, 0
+    else:
+        width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+        entry, colours = 4, struct.unpack_from("<I", data, 46)[0]
+    if packed not in (0, 3, 6) or packed and bits not in (16, 32) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0:
         raise ValueError("not an uncompressed BMP image")
     line = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)
     if bits <= 8:
-        colours = struct.unpack_from("<I", data, 46)[0] or 1 << bits
-        palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + header).reshape(-1, 4)
+        colours = min(colours or 1 << bits, (start - 14 - header) // entry)
+        palette = np.frombuffer(data, np.uint8, entry * colours, 14 + header).reshape(-1, entry)
         index = rows if bits == 8 else np.unpackbits(rows, axis=1).reshape(len(rows), -1, bits) @ (1 << np.arange(bits)[::-1])
         image = palette[index[:, :width]][:, :, 2::-1]
+    elif bits == 24:
+        image = rows[:, : 3 * width].reshape(len(rows), width, 3)[:, :, 2::-1]
     else:
-        image = rows[:, : width * bits // 8].reshape(len(rows), width, bits // 8)[:, :, 2::-1]
+        usual = (0x7C00, 0x03E0, 0x001F) if bits == 16 else (0xFF0000, 0x00FF00, 0x0000FF)
+        masks = struct.unpack_from("<III", data, 54) if packed else usual
+        pixels = rows[:, : width * bits // 8].copy().view("<u2" if bits == 16 else "<u4")
+        image = np.stack([_by_mask(pixels, m) for m in masks], axis=2)
     return image if height < 0 else image[::-1]
 
 
@@ -150,7 +189,7 @@ def tiles(media: DataFrame, media_col: str = "media", side: int = TILE) -> DataF
             image = decode(data)
             if not image.size:
                 raise ValueError("an image without pixels")
-        except (ValueError, IndexError, struct.error) as error:
+        except (ValueError, IndexError, OverflowError, struct.error) as error:
             return *known, *(None,) * 7, str(error)[:200]
         samples = image.tobytes()
         return *known, *image.shape[:2], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), difference_hash(image), npy_tile(image, side), None

@@ -11,7 +11,9 @@ Scale: no text is shuffled; ranks are salted, so that one length shared by a thi
 spread; the driver sees one row per length.
 
 Defined cases: a null text is empty and gives one piece holding the end id alone; an empty table
-gives an empty result; repeated rows are packed as separate documents.
+gives an empty result; repeated rows are packed as separate documents; a null doc_id is kept as such; a very long text is cut into
+pieces and nothing of it is left out; pieces of equal length go by doc_id, number and checksum; columns other than the two named are
+not read, whatever their names.
 """
 
 from __future__ import annotations

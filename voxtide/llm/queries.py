@@ -32,9 +32,9 @@ WEIGHTS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
-    out = mixing.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    out = mixing.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS).rates
     share = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(WEIGHTS))]
-    return out.select("doc_id", "tokens", *share, "domain", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return out.select("doc_id", "tokens", *share, "domain", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), "miss")
 
 
 def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

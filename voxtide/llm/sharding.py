@@ -8,12 +8,14 @@ Scale: the packing is planned from the histogram of group sizes. Sizes up to 409
 classes, larger ones are rounded up to 13 significant bits, so at most 2**12 classes exist per power
 of two (some 10**5 in all, whatever the number of groups) and a shard is overestimated by under 1/4096.
 Groups find their place by their rank within their class. Only (digest, sizes) are shuffled,
-never texts; groups holding over 1/HEAVY of all bytes are joined by a broadcast of at most HEAVY
+never texts; groups holding over 1/HEAVY of all bytes or of all rows are joined by a broadcast of at most 2 * HEAVY
 rows, so a copy group of a third of all rows does not meet in one task.
 
 Defined cases: a null text is an empty one (size: the overhead alone, crc32 0) and grouped with it; a
 group larger than a fair share gets a shard of its own; with fewer groups than shards some stay
-empty; an empty table gives an empty result; repeated rows are separate rows of one group.
+empty; an empty table gives an empty result; repeated rows are separate rows of one group; a null doc_id is kept as such and
+ranked first; a very long text counts with its whole size; equal sizes go by digest; columns other than the two named are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
 from voxtide.llm.common import local_table, salted_rank, stored, unhex_sha256
 
-#: Groups with more than 1/HEAVY of all bytes are joined by broadcast (so at most HEAVY of them).
+#: Groups with more than 1/HEAVY of all bytes or of all rows are joined by broadcast (so at most twice HEAVY of them).
 HEAVY = 4096
 #: Significant bits of a size class.
 BITS = 13
@@ -76,18 +78,18 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     width = f"CAST(POWER(2, GREATEST(0, LENGTH(BIN(bytes)) - {BITS})) AS BIGINT)"
     groups = stored(groups.withColumn("class", F.expr(f"(bytes + {width} - 1) DIV {width} * {width}")), "shard-groups")
-    counts = groups.groupBy("class").agg(F.count("*").alias("_rows"), F.sum("bytes").alias("_bytes"))
+    counts = groups.groupBy("class").agg(F.count("*").alias("_rows"), F.sum("bytes").alias("_bytes"), F.sum("n").alias("_n"))
     histogram = counts.collect()  # bounded: one row per class
     plan = plan_shards({r["class"]: r["_rows"] for r in histogram}, shards)
     ranges = local_table(spark, PLAN_SCHEMA, **plan.columns())
     sizes = local_table(spark, "class long, _rows long", **{"class": [r["class"] for r in histogram], "_rows": [r["_rows"] for r in histogram]})
     ranked = salted_rank(groups, "class", ["digest"], "rank", sizes)
     placed = ranked.join(ranges, (F.col("class") == F.col("p_size")) & (F.col("rank") >= F.col("p_lo")) & (F.col("rank") < F.col("p_hi")))
-    placed = stored(placed.select("digest", "bytes", F.expr("CAST(p_first + (rank - p_lo) DIV p_each AS INT)").alias("shard")), "shard-plan")
-    heavy = F.col("bytes") * HEAVY > sum(r["_bytes"] for r in histogram)
+    placed = stored(placed.select("digest", "bytes", "n", F.expr("CAST(p_first + (rank - p_lo) DIV p_each AS INT)").alias("shard")), "shard-plan")
+    heavy = (F.col("bytes") * HEAVY > sum(r["_bytes"] for r in histogram)) | (F.col("n") * HEAVY > sum(r["_n"] for r in histogram))
     big = F.broadcast(placed.where(heavy).select("digest", "shard"))
     hot = rows.join(big, "digest")
     cold = rows.join(big.select("digest"), "digest", "left_anti").join(placed.where(~heavy).select("digest", "shard"), "digest")

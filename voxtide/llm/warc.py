@@ -215,8 +215,8 @@ def read_archives(manifest: DataFrame, with_data: bool = True, chunk: int = CHUN
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    archives = manifest.select("archive")
-    return archives.repartition(max(1, archives.count()), "archive").mapInArrow(gives_back(run), schema + ", data binary" * with_data)
+    archives = manifest.select("archive")  # dealt by range: hashed names would meet in tasks
+    return archives.repartitionByRange(max(1, archives.count()), "archive").mapInArrow(gives_back(run), schema + ", data binary" * with_data)
 
 
 def summaries(chunks: DataFrame) -> DataFrame:
