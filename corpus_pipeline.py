@@ -5,20 +5,19 @@ language ID -> exact dedup -> MinHash near-dedup -> mixing to target weights ->
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.llm import exact_dedup, langid, mixing, near_dedup, packing
-from voxtide.llm.common import maybe_among, shared_dir, stored
+from voxtide.llm.common import discard, maybe_among, stored
 from voxtide.llm.queries import table, tokenizer_path
 
 #: What the domains' present expected totals of tokens are to change by.
-FACTORS = {"high": 1.0, "low": 1.0, "toxic": 0.1}
-#: Documents whose likeliest domain is one of these may be left out by the mix; any other stays at least once.
-CUT = [d for d, f in FACTORS.items() if f < 1]
+FACTORS = {"high": 1.0, "low": 1.0, "toxic": 0.15}
+#: Documents whose likeliest domain is one of these stay at least once; the bound is part of the fit.
+LEAST = {d: 1.0 for d, f in FACTORS.items() if f >= 1}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +39,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as their fitted rate says, rounded without bias; unlabelled domains never lose a document."""
-    rates = mixing.mix(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), FACTORS, of_present=True)
+    """Documents in as many copies as their fitted rate says, rounded without bias. The fit itself keeps documents of the
+    domains that aren't to shrink; without labels, or without a miss of the targets, all stay once. Rows repeating a doc_id get the same
+    number of copies; a null doc_id stays once."""
+    rates = mixing.mix(docs, mixing.quality_domains(table(spark, sf_dir, "labels")), FACTORS, of_present=True, least=LEAST).rates
     times = mixing.copies(F.col("rate"), F.col("doc_id"))
-    times = F.when(F.col("domain").isin(CUT), times).otherwise(F.greatest(F.lit(1), times))
     other = rates.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times != 1")
     other = stored(other.dropDuplicates(["_id"]), "mix")  # only what is not simply kept
-    joined = docs.join(other, docs["doc_id"] == other["_id"], "left")
+    suspect = maybe_among([docs["doc_id"]], other.select("_id"))  # the others stay where they are
+    joined = docs.where(suspect).join(other, docs["doc_id"] == other["_id"], "left")
     again = F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)).cast("int")))
-    return joined.withColumn("_copy", again).select(*[docs[c] for c in docs.columns])
+    return docs.where(~suspect).unionAll(joined.withColumn("_copy", again).select(*[docs[c] for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+        fresh = stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        discard(docs)  # what the stage before wrote
+        docs = fresh
     return docs
