@@ -10,8 +10,9 @@ from voxtide import models, schemas
 from voxtide.config import Settings
 from voxtide.operators import accounting, dedup, routing, snapshot, vector_search
 from voxtide.operators.components import connected_components
-from voxtide.plans.stages import Rules, cluster, manage_events, match_and_decide, route_and_enrich
-from voxtide.streaming.worker import Worker, file_stream
+from voxtide.plans.stages import Rules, cluster, decider, manage_events, match_and_decide, route_and_enrich, summarize_clusters
+from voxtide.job import Engine, Resources, main
+from voxtide.streaming.worker import Worker, cadence, file_stream
 
 NOW = datetime(2024, 1, 15, 12)
 MAPPING = "voice_id string, risk_event_id string, voice_date timestamp_ntz"
@@ -106,11 +107,17 @@ def test_stages_end_to_end(spark):
     ids = {r["id"]: r["batch_cluster_id"] for r in grouped.collect()}
     assert ids[0] == ids[1] != ids[2]
     vector = models.HashEmbedder().embed(["theredringisbrokenagain"])[0]
-    kb = spark.createDataFrame([("E1", "R1", vector)], "risk_event_id string, gm_code string, embedding array<double>")
+    kb = spark.createDataFrame([("E1", "R1", "theredringisbrokenagain", vector)], "risk_event_id string, gm_code string, risk_event_title string, embedding array<double>")
     activity = spark.createDataFrame([("E1", NOW)], "risk_event_id string, last_active_timestamp timestamp_ntz")
     decided = match_and_decide(grouped, kb, kb.limit(0), activity, at(NOW), models.HashEmbedder)
     final = {r["id"]: (r["decision"], r["risk_event_id"]) for r in decided.collect()}
     assert final[0] == ("merge", "E1") and final[2] == ("create_new", ids[2])
+    asked = match_and_decide(grouped, kb, kb.limit(0), activity, at(NOW), models.HashEmbedder, decider(models.OfflineModel), reranker=models.CosineReranker)
+    assert {r["id"]: r["decision"] for r in asked.collect()}[1] == "merge"
+    whole = summarize_clusters(grouped, models.OfflineModel)
+    assert {r["id"]: (r["batch_cluster_title"], r["batch_cluster_success"]) for r in whole.collect()}[1] == (titles[0], True)
+    large = summarize_clusters(grouped, models.OfflineModel, Settings(split_members=1)).where("id = 1").first()
+    assert (large["batch_cluster_title"], large["batch_cluster_success"], large["batch_cluster_id"]) == ("theredringisbrokenagain", False, ids[0])
 
 
 def _decided(rows, spark):
@@ -125,6 +132,7 @@ def test_manage_events(spark):
     assert state["E1"]["risk_event_volume"] == 14 and state["E2"]["risk_event_volume"] == 1 and set(state) == {"E1", "E2"}
     alerts = out.alerts.collect()
     assert [(r["risk_event_id"], r["alert_type"], r["volume_at_alert"]) for r in alerts] == [("E1", "first_alert", 14)]
+    assert [(r["risk_event_id"], r["risk_event_title"], r["goc_product_line"], r["data_source"]) for r in out.knowledge.collect()] == [("E2", "y", "unknown", "feedback")]
     assert state["E1"]["threshold_breach_timestamp"] == NOW == state["E1"]["last_alerted_timestamp"]
     assert out.stats.first().asDict() == {"mappings": 7, "new_events": 1, "updated_events": 1, "alerts_triggered": 1, "suppressed_voices": 1}
 
@@ -154,3 +162,92 @@ def test_stream_restart_and_replay(spark, voices):
     once = _state(again)
     again.process(batch, 2)  # a replay of the last epoch
     assert _state(again) == once and sum(v for _, v, _ in once) == sum(v for _, v, _ in before)
+
+
+def test_answers_that_vary_are_taken_once(spark, voices):
+    """An epoch that is processed again keeps its decisions, and all its tables with them."""
+    asked = []
+
+    def decide(batch):
+        asked.append(1)
+        return batch.withColumn("risk_event_id", F.concat(F.lit(f"R{len(asked)}-"), "risk_event_id"))
+
+    schema = "id long, voice_id string, title string, gm_code string, gmt_create timestamp_ntz, risk_event_id string, decision string"
+    rows = spark.read.schema(schema).parquet(str(voices / "in"))
+    job = Worker(spark, f"file://{voices}/w", decide, embedder=models.HashEmbedder)
+    tables = (job.events, job.mapping, job.alerts, job.timeline, job.knowledge, job.decided)
+    seen = []
+    for epoch in (0, 1, 1):
+        job.process(rows.where(F.col("id").between(epoch * 30, epoch * 30 + 29)), epoch)
+        seen.append([sorted(map(str, t.read().collect())) for t in tables])
+    assert len(asked) == 2 and seen[1] == seen[2]
+    assert {r["risk_event_id"] for r in job.mapping.epoch(1).collect()} == {r["risk_event_id"] for r in job.knowledge.epoch(1).collect()} == {f"R2-E{i}" for i in range(5)}
+
+
+def _sources(spark, folder):
+    """Two files of voices, an hour apart, and a keyword dictionary."""
+    for part, (title, n) in enumerate((("the red ring is broken again today", 4), ("the red ring is broken again today", 5))):
+        rows = [(100 * part + i, f"{part}-{i}", title, NOW + timedelta(minutes=60 * part + i), None, "app", "u", "x") for i in range(n)]
+        rows += [(100 * part + 50, None, title, NOW, None, "app", "u", "x"), (100 * part + 51, f"{part}-51", "short", NOW, None, "app", "u", "x")]
+        spark.createDataFrame(rows, schemas.VOICE_SOURCE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    (folder / "words.csv").write_text("gm_code,goc_product_line,entity,action\nR1,line_a,ring,\n")
+    (folder / "stop.txt").write_text("the\n\nis\n")
+
+
+def test_events_of_one_batch_are_found_by_the_next(spark, tmp_path):
+    _sources(spark, tmp_path)
+    keywords = routing.keyword_table(spark.read.csv(f"{tmp_path}/words.csv", header=True, schema="gm_code string, goc_product_line string, entity string, action string"))
+    engine = Engine(spark, f"file://{tmp_path}/e", Resources(keywords))
+    for epoch in (0, 1):
+        engine.process(spark.read.parquet(f"{tmp_path}/in").where(F.col("id").between(100 * epoch, 100 * epoch + 99)), epoch)
+    assert [(r["risk_event_volume"], r["gm_code"], r["goc_product_line"], r["status"]) for r in engine.events.version().collect()] == [(9, "R1", "line_a", "active")]
+    assert {r["decision"] for r in engine.decided.epoch(1).collect()} == {"merge"}
+    assert engine.mapping.read().count() == 9 and engine.knowledge.read().count() == 1 and engine.alerts.read().count() >= 1
+    assert engine.timeline.read().agg(F.sum("incremental_volume_at_snapshot")).first()[0] == 9
+
+
+def test_entry_job(spark, tmp_path):
+    _sources(spark, tmp_path)
+    failures = main(["--source", f"{tmp_path}/in", "--folder", f"file://{tmp_path}/job", "--keywords", f"{tmp_path}/words.csv", "--stopwords", f"{tmp_path}/stop.txt", "--every", "0", "--runs", "2"])
+    assert failures == []
+    state = spark.read.parquet(f"{tmp_path}/job/risk_event")
+    assert state.where("epoch = 1").agg(F.sum("risk_event_volume")).first()[0] == 9 and state.agg(F.max("epoch")).first()[0] == 1
+
+
+def test_cadence_backs_off():
+    waits, runs = [], iter([RuntimeError("down"), None, None])
+
+    class Run:
+        def awaitTermination(self):  # noqa: N802
+            if error := next(runs):
+                raise error
+
+    assert cadence(Run, every=120, pause=10, runs=3, sleep=waits.append) == ["RuntimeError: down"]
+    assert waits[0] == 10 and 119 < waits[1] <= 120 and len(waits) == 2
+
+
+def test_snapshots_keep_their_distance(spark, tmp_path):
+    schema = "id long, voice_id string, title string, gm_code string, gmt_create timestamp_ntz, risk_event_id string, decision string"
+    job = Worker(spark, f"file://{tmp_path}/s", lambda b: b)
+    for epoch, minute in enumerate((0, 5, 12)):
+        job.process(spark.createDataFrame([(epoch, str(epoch), "t", "A", NOW + timedelta(minutes=minute), "E", None)], schema), epoch)
+    got = {r["snapshot_time"]: r["incremental_volume_at_snapshot"] for r in job.timeline.read().collect()}
+    assert got == {NOW: 1, NOW + timedelta(minutes=12): 2}
+
+
+def test_blocks_give_what_all_pairs_give(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "A" if i % 3 else "B", (rng.standard_normal(8) if i % 50 else np.zeros(8)).tolist() if i % 61 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, v array<double>")
+    want = {}
+    for i, k, v in rows:
+        for j, m, w in rows:
+            if i < j and k == m and v and w:
+                size = np.linalg.norm(v) * np.linalg.norm(w)
+                want[i, j] = round(1 - (np.dot(v, w) / size if size > 1e-8 else 0), 6)
+    every = lambda d, a, b: np.nonzero(d < 0.5)
+    for block in (16, 1024):
+        got = {(r["a"], r["b"]): r["distance"] for r in vector_search.block_join(df, df, "k", "id", "v", 6, every, block).where("a < b").collect()}
+        assert got == pytest.approx({p: d for p, d in want.items() if d < 0.5}, abs=2e-6)
+    near = vector_search.knn(df.where("id < 20"), df, 3, None, "id", "v").where("query_id = 4").orderBy("rank").collect()
+    assert near[0]["hit_id"] == 4 and near[0]["distance"] == 0 and [r["rank"] for r in near] == [1, 2, 3]

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from voxtide import models
 from voxtide.config import Settings
 from voxtide.functions import scoring, text, vectors
 
@@ -42,6 +43,47 @@ def test_words_and_cells(spark):
     assert one(spark, text.fallback_title(F.col("t")), t="。。") == "。。"
 
 
+def test_segmentation(spark):
+    words = ["无法付款", "无法", "付款", "订单", "5G套餐", "ring"]
+    cut = lambda t, **more: one(spark, text.tokens(F.col("t"), words=words, **more), t=t)
+    assert cut("无法付款订单失败") == ["无法付款", "订单"]
+    assert cut("订单，无法 付款了 string ring") == ["订单", "无法付款", "STRING", "RING"]
+    assert cut("办5g套餐 无法无法", stopwords=F.array(F.lit("订单"))) == ["5G套餐", "无法", "无法"]
+    assert cut("", stopwords=F.array(F.lit("x"))) == [] and cut(None) is None
+    assert text.all_words((("a", 3),), ["b", ["c", ("a",)]]) == ["a", "b", "c"]
+
+
+def test_services_over_http(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "input" in asked:
+                out = {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(asked["input"])))]}
+            elif "documents" in asked:
+                out = {"results": [{"index": i, "relevance_score": len(t)} for i, t in reversed(list(enumerate(asked["documents"])))]}
+            else:
+                out = {"choices": [{"message": {"content": "<think>x</think> " + asked["messages"][0]["content"].upper()}}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert models.HttpEmbedder(url).embed(["a", "bcd"]) == [[1.0], [3.0]]
+    assert models.HttpReranker(url).scores("q", ["abc", "d"]) == [3.0, 1.0]
+    df = spark.createDataFrame([(1, "hello")], "id long, title string")
+    assert models.summarized(df, "id", "title", lambda: models.HttpModel(url), "$title").first()["initial_summary_text"] == "HELLO"
+    server.shutdown()
+
+
 def test_cosine(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))
     assert spark.range(1).select(vectors.cosine_distance(a, b, vectors.norm(a), vectors.norm(b))).first()[0] == 1.0

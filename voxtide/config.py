@@ -35,6 +35,9 @@ class Settings:
     baseline_std_floor: float = 0.5
     snapshot_lookback_hours: int = 72
     missing_activity_days: float = 14.0
+    split_members: int = 200
+    data_source: str = "feedback"
+    unknown_code: str = "unknown"
 
 
 DEFAULTS = Settings()

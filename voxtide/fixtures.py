@@ -10,9 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: 26 Chinese letters for those of the alphabet: titles without a space to be cut at.
+LETTERS = "无法付款订单失败支账号登录退还花呗额度借转收到微信余"
+
+
+def chinese_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title: part names in other letters, with a comma where a space was."""
+    title = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz ", LETTERS + "，")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title.alias("title"))
+
+
 def voice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("voice_channel"), F.col("lang").alias("gm_code"), F.posexplode(F.split("text", "\n")).alias("pos", "title"))
-    return rows.select((F.col("doc_id") * 10000 + F.col("pos") + 1).alias("id"), "title", "voice_channel", "gm_code")
+    return rows.select((F.col("doc_id") * 10_000_000 + F.col("pos") + 1).alias("id"), "title", "voice_channel", "gm_code")
 
 
 def voice_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same bindings for the oracle.
 SQL = {
-    "voice_lines": """SELECT doc_id*10000+pos AS id, line AS title, source AS voice_channel, lang AS gm_code
+    "voice_lines": """SELECT doc_id*10000000+pos AS id, line AS title, source AS voice_channel, lang AS gm_code
         FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)""",
     "voice_source": """SELECT event_id AS id, CAST(event_id - event_id%7%2 AS VARCHAR) AS voice_id, event_type AS title, ts AS gmt_create,
         ts - to_minutes(CAST(event_id%30 AS INT)) AS add_date, CAST(user_id AS VARCHAR) AS uid, event_type AS gm_code, CAST(json_extract(props,'$.k') AS INT) AS k FROM events""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -62,11 +62,55 @@ def include_exclude(title: Column, rules: Sequence[tuple[Sequence[str], Sequence
     return _any([_all([title.contains(k) for k in yes]) & ~_any([title.contains(k) for k in no]) for yes, no in rules])
 
 
-def tokens(title: Column, stopwords: Column | None = None, most: int = 10) -> Column:
-    """Upper-case words of more than one letter or digit, without stopwords; the first ``most``."""
-    found = F.regexp_extract_all(F.upper(title), F.lit(r"[0-9A-Z一-龥]+"), F.lit(0))
+def one_of(words: Iterable[str]) -> str:
+    """A pattern of any of some words, the longest first: a tree of their letters, so that a text is compared with those that begin alike."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        ways = [re.escape(letter) + pattern(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        joined = ways[0] if len(ways) == 1 and not ends else f"(?:{'|'.join(ways)})"
+        return joined + "?" * ends
+
+    return pattern(tree)
+
+
+def tokens(title: Column, stopwords: Column | None = None, most: int = 10, words: Sequence[str] = ()) -> Column:
+    """Upper-case words of more than one letter or digit, without stopwords; the first ``most``.
+
+    ``words``: the user dictionary. With it, runs of Chinese letters, in which other signs don't count, are cut by the
+    longest word of the dictionary that begins at each place; letters of no word are left out. Without it a run is one word.
+    """
+    own = sorted({w.upper() for w in words if re.fullmatch(r"[0-9A-Za-z一-龥]{2,}", w) and re.search("[一-龥]", w)})
+    if own:
+        flat = F.regexp_replace(F.upper(title), f"(?<=[一-龥]){NOT_WORD}+(?=[一-龥])", "")
+        found = F.regexp_extract_all(flat, F.lit(f"{one_of(own)}|[0-9A-Z]+|[一-龥]"), F.lit(0))
+    else:
+        found = F.regexp_extract_all(F.upper(title), F.lit(r"[0-9A-Z一-龥]+"), F.lit(0))
     kept = F.filter(found, lambda w: F.length(w) > 1)
-    return F.slice(F.array_except(kept, stopwords) if stopwords is not None else kept, 1, most)
+    return F.slice(F.filter(kept, lambda w: ~F.array_contains(stopwords, w)) if stopwords is not None else kept, 1, most)
+
+
+def all_words(*rules: Sequence) -> list[str]:
+    """The distinct keywords of rules, however nested their lists are (prefix lengths and the like are no keywords)."""
+
+    def flat(x: object) -> Iterable[str]:
+        return [x] if isinstance(x, str) else [w for y in x for w in flat(y)] if isinstance(x, (list, tuple, set, frozenset)) else []
+
+    return sorted(set(flat(rules)))
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A template with its ``$name`` places filled by columns; a null fills nothing."""
+    parts = re.split(r"\$([a-z_]+)", template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def keyword_cell(cell: Column) -> Column:

@@ -7,15 +7,20 @@ within the call. Clients are made once a worker.
 from __future__ import annotations
 
 import hashlib
+import json
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.functions.text import prompt
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -65,9 +70,81 @@ class EchoModel:
         return prompt.rsplit("\n", 1)[-1]
 
 
-def attempt(call: Callable[[], object], times: int = 2) -> tuple[object, str | None]:
+class OfflineModel(EchoModel):
+    """Echoes summaries; puts a cluster's messages under their shortest; merges a cluster with the candidate of the same title, if any."""
+
+    def answer(self, prompt: str) -> str:
+        last = super().answer(prompt)
+        if prompt.startswith(SPLIT.split("\n", 1)[0]):
+            messages = json.loads(last)
+            return json.dumps({"summaries": [{"text": min(messages, key=lambda m: (len(m), m)), "original_indices": list(range(len(messages)))}]})
+        if prompt.startswith(DECIDE.split("\n", 1)[0]):
+            task = json.loads(last)
+            same = [c for c in task["candidates"] if c["risk_event_title"] == task["title"]]
+            return json.dumps({"decision": "merge", "matched_risk_event_id": same[0]["risk_event_id"]} if same else {"decision": "create_new"})
+        return last
+
+
+#: Prompts; ``$name`` is filled from a column.
+SUMMARIZE = "Summarize the message in one sentence.\n$title"
+SPLIT = (
+    "Group the numbered messages of this cluster by the problem that they report.\n"
+    'Answer with JSON alone: {"summaries": [{"text": "the problem in one sentence", "original_indices": [0, 1]}]}, each message in one group, counted from 0.\n$messages'
+)
+DECIDE = (
+    "Decide whether a new cluster of messages belongs to a known event.\n"
+    'Answer with JSON alone: {"decision": "merge" or "create_new", "matched_risk_event_id": "the candidate\'s id or null", "reason": "why"}.\n$task'
+)
+
+
+class HttpClient:
+    """POSTs JSON to a service, within a time limit; made in the worker that uses it."""
+
+    def __init__(self, url: str, model: str = "", timeout: float = 180.0, headers: dict[str, str] | None = None) -> None:
+        self.url, self.model, self.timeout, self.headers = url, model, timeout, headers or {}
+
+    def post(self, **body: object) -> dict:
+        data = json.dumps({"model": self.model} | body).encode()
+        request = urllib.request.Request(self.url, data, {"Content-Type": "application/json"} | self.headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.loads(answer.read())
+
+
+class HttpEmbedder(HttpClient):
+    """``{"input": [...]}`` -> ``{"data": [{"index": i, "embedding": [...]}]}``."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        rows = sorted(self.post(input=texts)["data"], key=lambda r: r["index"])
+        if [r["index"] for r in rows] != list(range(len(texts))):
+            raise ValueError("the service left out a text")
+        return [r["embedding"] for r in rows]
+
+
+class HttpReranker(HttpClient):
+    """``{"query": q, "documents": [...]}`` -> ``{"results": [{"index": i, "relevance_score": x}]}``, in any order."""
+
+    def scores(self, query: str, texts: list[str]) -> list[float]:
+        rows = sorted(self.post(query=query, documents=texts)["results"], key=lambda r: r["index"])
+        if [r["index"] for r in rows] != list(range(len(texts))):
+            raise ValueError("the service left out a text")
+        return [float(r["relevance_score"]) for r in rows]
+
+
+class HttpModel(HttpClient):
+    """``{"messages": [...]}`` -> ``{"choices": [{"message": {"content": "..."}}]}``."""
+
+    def __init__(self, url: str, model: str = "", timeout: float = 600.0, headers: dict[str, str] | None = None) -> None:
+        super().__init__(url, model, timeout, headers)
+
+    def answer(self, prompt: str) -> str:
+        return self.post(messages=[{"role": "user", "content": prompt}])["choices"][0]["message"]["content"]
+
+
+def attempt(call: Callable[[], object], times: int = 2, pause: float = 0.5) -> tuple[object, str | None]:
     error = None
-    for _ in range(times):
+    for i in range(times):
+        if i:
+            time.sleep(pause)
         try:
             return call(), None
         except Exception as e:  # noqa: BLE001  a service may fail in any way; the row carries the reason
@@ -108,14 +185,19 @@ def answered(df: DataFrame, id_col: str, prompt_col: str, make: Callable[[], Lan
     return df.select(id_col, prompt_col).mapInPandas(run, f"`{id_col}` {kind}, answer string, error string")
 
 
-def summarized(voices: DataFrame, id_col: str, title_col: str, make: Callable[[], LanguageModel], template: str = "Summarize in one sentence:\n{title}") -> DataFrame:
+def without_thoughts(answer: Column) -> Column:
+    """An answer without the model's thoughts; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(answer, r"(?s)<think>.*?</think>", "")), F.lit(""))
+
+
+def summarized(voices: DataFrame, id_col: str, title_col: str, make: Callable[[], LanguageModel], template: str = SUMMARIZE) -> DataFrame:
     """``voices`` with initial_summary_text (the masked title where the model fails), initial_summary_id and summary_error."""
-    before, after = template.split("{title}")
-    prompts = voices.select(id_col, F.concat(F.lit(before), F.col(title_col), F.lit(after)).alias("prompt"))
-    got = answered(prompts, id_col, "prompt", make).withColumnsRenamed({"error": "summary_error", id_col: "_id"})
-    clean = F.nullif(F.trim(F.regexp_replace("answer", r"(?s)<think>.*?</think>", "")), F.lit(""))
-    joined = voices.join(got, voices[id_col] == got["_id"], "left").withColumn("initial_summary_text", F.coalesce(clean, F.col(title_col)))
-    return joined.withColumn("initial_summary_id", F.concat(F.lit("sum"), F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), "initial_summary_text"), 256), 1, 24))).drop("_id", "answer")
+    titles = voices.select(F.col(title_col).alias("_asked")).where("_asked IS NOT NULL").distinct()  # each once
+    got = answered(titles.withColumn("prompt", prompt(template, title=F.col("_asked"))), "_asked", "prompt", make).withColumnRenamed("error", "summary_error")
+    clean = without_thoughts(F.col("answer"))
+    joined = voices.join(got, voices[title_col] == got["_asked"], "left").withColumn("initial_summary_text", F.coalesce(clean, F.col(title_col)))
+    key = F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), "initial_summary_text"), 256), 1, 24)
+    return joined.withColumn("initial_summary_id", F.concat(F.lit("sum"), key)).drop("_asked", "answer")
 
 
 def reranked(hits: DataFrame, query_col: str, text_col: str, make: Callable[[], Reranker], digits: int = 4) -> DataFrame:

@@ -27,16 +27,19 @@ def split(members: DataFrame, answers: DataFrame) -> DataFrame:
     """``members`` (cluster_id, pos from 0, id, title) with success, title and sub_cluster_id by the model's answer (cluster_id, answer).
 
     An answer that doesn't cover each member falls back to the shortest cleaned title; where summaries
-    overlap, the last one has the member.
+    overlap, the last one has the member. Only answered clusters are spelled out member by member.
     """
     clean = text.fallback_title(F.col("title"))
     whole = members.groupBy("cluster_id").agg(F.count("*").cast("int").alias("n"), F.min_by(clean, F.struct(F.length(clean), "pos")).alias("fallback"))
-    judged = whole.join(answers, "cluster_id", "left").withColumn("v", scoring.valid_summaries(F.col("answer"), F.col("n"), F.col("fallback")))
-    each = judged.select("cluster_id", F.col("v.success").alias("success"), F.posexplode("v.summaries").alias("part", "s"))
-    owned = each.select("cluster_id", "success", "part", F.col("s.text").alias("batch_cluster_title"), F.explode("s.original_indices").alias("pos"))
-    last = owned.groupBy("cluster_id", "pos").agg(F.max_by(F.struct("success", "part", "batch_cluster_title"), "part").alias("o"))
-    joined = members.join(last, ["cluster_id", "pos"])
-    return joined.select("cluster_id", "id", "o.success", "o.batch_cluster_title", text.stable_id("sub", F.col("cluster_id"), F.col("o.part")).alias("sub_cluster_id"))
+    named = whole.join(answers, "cluster_id", "left")
+    judged = named.where("answer IS NOT NULL").withColumn("v", scoring.valid_summaries(F.col("answer"), F.col("n"), F.col("fallback"))).where("v.success = 1")
+    each = judged.select("cluster_id", F.posexplode("v.summaries").alias("part", "s"))
+    owned = each.select("cluster_id", "part", F.col("s.text").alias("_text"), F.explode("s.original_indices").alias("pos"))
+    last = owned.groupBy("cluster_id", "pos").agg(F.max("part").alias("part"), F.max_by("_text", "part").alias("_text"))
+    joined = members.join(whole.select("cluster_id", "fallback"), "cluster_id").join(last, ["cluster_id", "pos"], "left")
+    part, good = F.coalesce("part", F.lit(0)), F.col("_text").isNotNull()
+    title = F.coalesce("_text", "fallback")
+    return joined.select("cluster_id", "id", good.cast("int").alias("success"), title.alias("batch_cluster_title"), text.stable_id("sub", F.col("cluster_id"), part).alias("sub_cluster_id"))
 
 
 def unclustered(voices: DataFrame, clustered: DataFrame, key: str = "id", marker: str = "UNCLUSTERED") -> DataFrame:

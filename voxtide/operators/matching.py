@@ -28,6 +28,15 @@ def decision_scores(candidates: DataFrame, activity: DataFrame, as_of: Column, s
     return top_k(scored, ["cluster_id"], [F.col("decision_score").desc(), F.col("rank").asc()], 2**31 - 1, "decision_rank")
 
 
+def search_tasks(voices: DataFrame, s: Settings = DEFAULTS, marker: str = "UNCLUSTERED") -> tuple[DataFrame, DataFrame]:
+    """(distinct tasks: cluster_id, gm_code, title, voices; their members: cluster_id, gm_code, title, id) of the voices that may be
+    searched for: clustered, with a title and a known code. The list of a task's voices is rows, not an array: it may be long."""
+    eligible = voices.where((F.coalesce("batch_cluster_id", F.lit(marker)) != marker) & (F.coalesce("batch_cluster_title", F.lit("")) != ""))
+    eligible = eligible.where(F.coalesce("gm_code", F.lit(s.unknown_code)) != s.unknown_code)
+    members = eligible.select(F.col("batch_cluster_id").alias("cluster_id"), "gm_code", F.col("batch_cluster_title").alias("title"), "id")
+    return members.groupBy("cluster_id", "gm_code", "title").agg(F.count("*").alias("voices")), members
+
+
 def decisions(clusters: DataFrame, scored: DataFrame, false_positives: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """clusters (cluster_id, contexts) with outcome, the top candidate and its score; ``false_positives``: cluster_id, fp_distance."""
     top = scored.where(F.col("decision_rank") == 1).select("cluster_id", F.col("risk_event_id").alias("top_id"), F.col("decision_score").alias("top_score"))

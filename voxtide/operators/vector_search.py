@@ -1,13 +1,26 @@
-"""k-nearest-neighbour and similarity joins with scalar filters."""
+"""k-nearest-neighbour and similarity joins with scalar filters.
+
+Vectors of one key meet block by block: both sides are cut into blocks of ``BLOCK`` vectors by a hash of their id, and each
+pair of blocks is a group of its own, whose distances are one matrix product. So a key of any number of vectors is spread over as many
+tasks as it has pairs of blocks, and a task holds two blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.vectors import cosine_distance, norm, sign_hashes
 from voxtide.operators.dedup import top_k
 
+BLOCK = 1024
+#: What a block's distances give: (row, column) places of the hits.
+Chosen = Callable[[np.ndarray, pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]
+
 
 def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -19,36 +32,107 @@ def prepared(df: DataFrame, id_col: str, vector_col: str, prefix: str, keep: lis
     return df.select(F.col(id_col).alias(f"{prefix}_id"), vector.alias(f"{prefix}_vec"), norm(vector).alias(f"{prefix}_norm"), *[F.col(c).alias(f"{prefix}_{c}") for c in keep])
 
 
+def _distances(a: np.ndarray, b: np.ndarray, digits: int, eps: float = 1e-8) -> np.ndarray:
+    """1 - cosine similarity, clipped, rounded; 1 where a vector is (nearly) zero."""
+    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    similarity = np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size >= eps)
+    return np.round(1.0 - np.clip(similarity, -1.0, 1.0), digits)
+
+
+def block_join(left: DataFrame, right: DataFrame, on: str | None, id_col: str, vector_col: str, digits: int, choose: Chosen, block: int = BLOCK) -> DataFrame:
+    """a, b, key, distance of the pairs that ``choose`` takes of each pair of blocks of equal ``on`` (null vectors and keys go)."""
+    key = F.col(on) if on else F.lit(0)
+    kind_a, kind_b = dict(left.dtypes)[id_col], dict(right.dtypes)[id_col]
+    key_kind = dict(left.dtypes)[on] if on else "int"
+
+    def side(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("vec"), key.alias("key"))
+        return rows.where(F.col("vec").isNotNull() & F.col("key").isNotNull() & F.col("id").isNotNull())
+
+    a, b = side(left), side(right)
+    counts = [x.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for x, n in ((a, "na"), (b, "nb"))]
+    blocks = counts[0].join(counts[1], "key")
+    null_a, null_b = F.lit(None).cast(kind_a).alias("a"), F.lit(None).cast(kind_b).alias("b")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    rows = dealt(a, "na", "nb").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), F.col("id").alias("a"), null_b, "vec")
+    rows = rows.unionByName(dealt(b, "nb", "na").select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), null_a, F.col("id").alias("b"), "vec"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "a", "b")
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        group = pa.Table.from_batches(parts).combine_chunks()
+        sides = group["side"].to_numpy()
+        cut = int(np.searchsorted(sides, 1))
+        if cut in (0, len(sides)):
+            return None
+        vectors = np.array(group["vec"].to_pylist(), float)
+        ids_a, ids_b = group["a"].slice(0, cut).combine_chunks(), group["b"].slice(cut).combine_chunks()
+        distance = _distances(vectors[:cut], vectors[cut:], digits)
+        i, j = choose(distance, ids_a, ids_b)
+        keys = group["key"].slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(i), int)))
+        return pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j)), keys, pa.array(distance[i, j])], names=["a", "b", "key", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            begin = 0
+            for at in range(len(marks) + 1):
+                if at < len(marks) and marks[at] == (marks[begin] if at > begin else marks[at]):
+                    continue
+                if begin < at:
+                    if marks[begin] != now and parts:
+                        if (out := flush(parts)) is not None:
+                            yield out
+                        parts = []
+                    now = marks[begin]
+                    parts.append(batch.slice(begin, at - begin))
+                    begin = at
+        if parts and (out := flush(parts)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, f"a {kind_a}, b {kind_b}, key {key_kind}, distance double")
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, on: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding", keep: list[str] = (), digits: int = 6) -> DataFrame:
     """query_id, hit_id, distance, rank: the ``k`` nearest base rows of each query, among those of equal ``on``.
 
-    The scalar key is an equi-join key, so only vectors of one code meet; without it the (filtered) base is
-    compared with every query in blocks. Equal rounded distances go by id.
+    Exact: each pair of blocks gives its k nearest of each query, of which the k nearest stay. Equal rounded distances go by id.
     """
-    more = [on] if on else []
-    q, b = prepared(queries, id_col, vector_col, "query", more), prepared(base, id_col, vector_col, "hit", [*more, *keep])
-    pairs = q.join(b, F.col(f"query_{on}") == F.col(f"hit_{on}")) if on else q.crossJoin(b)
-    distance = F.round(cosine_distance(F.col("query_vec"), F.col("hit_vec"), F.col("query_norm"), F.col("hit_norm")), digits)
-    hits = pairs.select("query_id", "hit_id", *([f"query_{on}"] if on else []), *[f"hit_{c}" for c in keep], distance.alias("distance"))
-    return top_k(hits, ["query_id"], [F.col("distance").asc(), F.col("hit_id").asc()], k, "rank")
 
+    def nearest(distance: np.ndarray, _: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        places = np.argsort(distance, axis=1, kind="stable")[:, :k]  # ids ascend: ties go by id
+        return np.repeat(np.arange(len(distance)), places.shape[1]), places.ravel()
 
-def multi_collection_knn(queries: DataFrame, collections: dict[str, DataFrame], k: int, on: str | None = None) -> DataFrame:
+    hits = block_join(queries, base, on, id_col, vector_col, digits, nearest)
+    hits = hits.select(F.col("a").alias("query_id"), F.col("b").alias("hit_id"), *([F.col("key").alias(f"query_{on}")] if on else []), "distance")
+    hits = top_k(hits, ["query_id"], [F.col("distance").asc(), F.col("hit_id").asc()], k, "rank")
+    if keep:
+        hits = hits.join(base.select(F.col(id_col).alias("hit_id"), *[F.col(c).alias(f"hit_{c}") for c in keep]), "hit_id")
+    return hits
+
+
+def multi_collection_knn(queries: DataFrame, collections: dict[str, DataFrame], k: int, on: str | None = None, keep: list[str] = ()) -> DataFrame:
     """k // n hits of each of n collections (one if k isn't larger than n), together, tagged with the collection."""
     each = k // len(collections) if k > len(collections) else 1
     out = None
     for name, base in sorted(collections.items()):
-        hits = knn(queries, base, each, on).withColumn("collection_name", F.lit(name))
+        hits = knn(queries, base, each, on, keep=keep).withColumn("collection_name", F.lit(name))
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
 def similarity_pairs(df: DataFrame, threshold: float, on: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """a < b of equal ``on`` whose distance is strictly under the threshold. Exact."""
-    a, b = prepared(df, id_col, vector_col, "a", [on]), prepared(df, id_col, vector_col, "b", [on])
-    pairs = a.join(b, (F.col(f"a_{on}") == F.col(f"b_{on}")) & (F.col("a_id") < F.col("b_id")))
-    distance = cosine_distance(F.col("a_vec"), F.col("b_vec"), F.col("a_norm"), F.col("b_norm"))
-    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col(f"a_{on}").alias(on), F.round(distance, 6).alias("distance")).where(F.col("distance") < threshold)
+
+    def near(distance: np.ndarray, ids_a: pa.Array, ids_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(distance < threshold)
+
+    pairs = block_join(df, df, on, id_col, vector_col, 6, near)
+    return pairs.where("a < b").select("a", "b", F.col("key").alias(on), "distance")
 
 
 def lsh_pairs(df: DataFrame, threshold: float, on: str, dim: int, tables: int = 20, bits: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -58,7 +142,8 @@ def lsh_pairs(df: DataFrame, threshold: float, on: str, dim: int, tables: int =
     """
     rows = prepared(df, id_col, vector_col, "x", [on])
     buckets = rows.select("x_id", F.col(f"x_{on}").alias(on), F.explode(sign_hashes(F.col("x_vec"), dim, tables, bits)).alias("bucket"))
-    pairs = buckets.alias("p").join(buckets.alias("q"), F.expr(f"p.`{on}` = q.`{on}` AND p.bucket = q.bucket AND p.x_id < q.x_id")).select(F.col("p.x_id").alias("a"), F.col("q.x_id").alias("b"), F.col(f"p.{on}").alias(on)).distinct()
+    same = F.expr(f"p.`{on}` = q.`{on}` AND p.bucket = q.bucket AND p.x_id < q.x_id")
+    pairs = buckets.alias("p").join(buckets.alias("q"), same).select(F.col("p.x_id").alias("a"), F.col("q.x_id").alias("b"), F.col(f"p.{on}").alias(on)).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(rows.select(F.col("x_id").alias(side), F.col("x_vec").alias(f"{side}_vec"), F.col("x_norm").alias(f"{side}_norm")), side)
     distance = cosine_distance(F.col("a_vec"), F.col("b_vec"), F.col("a_norm"), F.col("b_norm"))

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide import fixtures as fx
+from voxtide import job, models
 from voxtide.config import Settings
 from voxtide.fixtures import with_views
-from voxtide.functions import scoring, text
+from voxtide.functions import payloads, scoring, text
 from voxtide.operators import accounting, baseline, clusters, dedup, matching, routing, snapshot, vector_search
 from voxtide.operators.components import connected_components
+from voxtide.plans import stages
 from voxtide.plans.stages import Rules, clean_and_filter
 from voxtide.sources import tables
 from voxtide.streaming import worker
@@ -148,6 +150,18 @@ def clean_and_filter_voices(spark, sf_dir):
     return clean_and_filter(fx.voice_lines(spark, sf_dir), RULES).select("id", "title")
 
 
+@register("SELECT * FROM (VALUES ('The '), ('Is '), ('Apache License'), ('worthless'), ('###'), ('ouaux'), ('tre'), ('nicht'), ('ung'), ('ing'), ('the'), ('tion'), ('th'), ('en')) t(keyword)")
+def rule_keywords(spark, sf_dir):
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in RULES.keywords()])).alias("keyword"))
+
+
+@register(with_views("voice_source") + "SELECT id, title FROM voice_source WHERE id % 11 = 0 OR id % 13 = 0")
+def quarantined_voices(spark, sf_dir):
+    rows = fx.voice_source(spark, sf_dir).withColumn("voice_id", F.when(F.col("id") % 11 != 0, F.col("voice_id")))
+    _, bad = tables.nested_voices(rows.withColumn("gmt_create", F.when(F.col("id") % 13 != 0, F.col("gmt_create"))))
+    return bad.select("id", "title")
+
+
 # Distinct rows
 
 
@@ -199,6 +213,51 @@ def keyword_extract(spark, sf_dir):
     return routing.keyword_table(_dictionary(spark))
 
 
+def _written(df, name, kind):
+    """A source file of a kind, in the shared folder."""
+    folder = worker.work_folder(df.sparkSession, name)
+    getattr(df.coalesce(1).write, kind)(folder, **({"header": True} if kind == "csv" else {}))
+    return folder
+
+
+@register(f"WITH {_KEYWORDS} SELECT gm_code, goc_product_line, tier, keyword FROM k")
+def keyword_source(spark, sf_dir):
+    return routing.keyword_table(tables.keyword_dictionary(spark, _written(_dictionary(spark), "keywords.csv", "csv"), "csv"))
+
+
+@register("SELECT p_partkey AS id, array_to_string(list_slice(list_filter(regexp_extract_all(upper(p_name), '[0-9A-Z一-龥]+'), lambda w: length(w) > 1 AND w NOT IN ('RED', 'HOT', 'PLATE')), 1, 10), ' ') AS words FROM part")
+def tokenise_stopwords(spark, sf_dir):
+    lines = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in ("red", " Hot ", "", "PLATE")])).alias("value"))
+    skipped = tables.stopwords(spark, _written(lines, "stopwords.txt", "text"))
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.tokens(F.col("p_name"), skipped), " ").alias("words"))
+
+
+#: A user dictionary: words within others, and one over the place of a comma.
+WORDS = ["花登无借订", "花登", "败还借", "额支退失", "支退", "订款花", "法登转订", "ring"]
+_CUT = "|".join(sorted(WORDS[:-1], key=len, reverse=True)) + "|[0-9A-Z]+|[一-龥]"
+_CHINESE = f"c AS (SELECT p_partkey AS id, translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', '{fx.LETTERS}，') AS title FROM part)"
+_WORDS = f"list_slice(list_filter(regexp_extract_all(replace(upper(title), '，', ''), '{_CUT}'), lambda w: length(w) > 1), 1, 10)"
+_LINES = "l(gm_code, goc_product_line, tier, keyword) AS (VALUES ('C1', 'line_a', 1, '花登无借订'), ('C1', 'line_a', 2, '败还借'), ('C2', 'line_b', 1, '额支退失'), ('C2', 'line_b', 2, '法登转订'))"
+
+
+def _chinese(spark, sf_dir):
+    return fx.chinese_titles(spark, sf_dir).withColumn("tokens", text.tokens(F.col("title"), words=WORDS))
+
+
+@register(f"WITH {_CHINESE} SELECT id, array_to_string({_WORDS}, ' ') AS words FROM c")
+def segment_titles(spark, sf_dir):
+    return _chinese(spark, sf_dir).select("id", F.array_join("tokens", " ").alias("words"))
+
+
+@register(f"""WITH {_CHINESE}, {_LINES}, w AS (SELECT DISTINCT id, unnest({_WORDS}) AS keyword FROM c),
+    h AS (SELECT id, tier, gm_code, goc_product_line, count(*) AS match_count, string_agg(keyword, ', ' ORDER BY keyword) AS document FROM w JOIN l USING (keyword) GROUP BY ALL)
+    SELECT h.*, row_number() OVER (PARTITION BY id ORDER BY match_count DESC, gm_code, goc_product_line)::INT AS rank FROM h JOIN (SELECT id, min(tier) AS tier FROM h GROUP BY id) USING (id, tier)""")
+def keyword_route_segmented(spark, sf_dir):
+    rows = [("C1", "line_a", "花登无借订", "败还借"), ("C2", "line_b", "额支退失", "法登转订")]
+    lines = spark.createDataFrame(rows, "gm_code string, goc_product_line string, entity string, action string")
+    return routing.keyword_route(_chinese(spark, sf_dir), routing.keyword_table(lines), 3)
+
+
 def _text_routes(spark, sf_dir):
     return routing.keyword_route(_titles(spark, sf_dir), routing.keyword_table(_dictionary(spark)), 3)
 
@@ -239,6 +298,46 @@ def route_rounding(spark, sf_dir):
     return rows.select("id", F.explode("routes").alias("r")).select("id", "r.gm_code", "r.voice_router_score")
 
 
+class LetterEmbedder:
+    """How often each letter of a to z is in a text: vectors that SQL can make, too."""
+
+    def embed(self, texts):
+        return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+class LengthReranker:
+    """1 / (1 + difference of lengths)."""
+
+    def scores(self, query, texts):
+        return [1 / (1 + abs(len(query) - len(t))) for t in texts]
+
+
+@register("""WITH h AS (SELECT vec_id % 50 AS id, label AS gm_code, round(embedding[1]::DOUBLE, 6) AS score, CAST(vec_id AS VARCHAR) AS document FROM embeddings),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id, gm_code ORDER BY score DESC, document) = 1)
+    SELECT id, gm_code, score, document, row_number() OVER (PARTITION BY id ORDER BY score DESC, gm_code)::INT AS rank FROM b QUALIFY rank <= 3""")
+def dedup_by_code(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    hits = rows.select((F.col("vec_id") % 50).alias("id"), F.col("label").alias("gm_code"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"), F.col("vec_id").cast("string").alias("document"))
+    return routing.semantic_routes(hits, 3)
+
+
+_LETTERS = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda x: (length(t) - length(replace(t, x, '')))::DOUBLE)"
+
+
+@register(f"""WITH q AS (SELECT t, {_LETTERS} AS v FROM (SELECT DISTINCT p_name AS t FROM part)), b AS (SELECT id, t, c, {_LETTERS} AS v, part FROM (SELECT p_partkey AS id, p_name AS t, 'S' || (p_size % 7) AS c, p_partkey % 40 AS part FROM part WHERE p_partkey % 20 = 0)),
+    n AS (SELECT q.t AS id, b.id AS hit, b.t AS document, c AS gm_code, round(1 / (1.0::DOUBLE + abs(length(q.t) - length(b.t))), 4) AS score,
+        row_number() OVER (PARTITION BY q.t, part ORDER BY round(1 - greatest(-1, least(1, list_cosine_similarity(q.v, b.v))), 6), b.id) AS near FROM q, b QUALIFY near <= 5),
+    d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id, gm_code ORDER BY score DESC, document) = 1)
+    SELECT id, gm_code, score, document, row_number() OVER (PARTITION BY id ORDER BY score DESC, gm_code)::INT AS rank FROM d QUALIFY rank <= 3""")
+def semantic_route(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    titles = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("title")).distinct()
+    known = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("document"), F.concat(F.lit("S"), F.col("p_size") % 7).alias("gm_code"), F.col("p_type").alias("goc_product_line"))
+    known = models.embedded(known, "vec_id", "document", LetterEmbedder)
+    collections = {f"kb{i}": known.where(F.col("vec_id") % 40 == 20 * i) for i in (0, 1)}
+    return stages.semantic_search(titles, collections, LetterEmbedder, LengthReranker).select("id", "gm_code", "score", "document", "rank")
+
+
 # Vectors
 
 _DISTANCE = "round(1 - greatest(-1, least(1, list_cosine_similarity(q.embedding, b.embedding))), 6)"
@@ -259,6 +358,15 @@ def knn_multi_collection(spark, sf_dir):
     return vector_search.multi_collection_knn(fx.cluster_vectors(spark, sf_dir), parts, 10, "gm_code").select("query_id", "hit_id", "distance", "collection_name")
 
 
+@register(with_views("risk_event_kb", "cluster_vectors") + f""", k AS ({_KNN}), s AS (SELECT query_id AS cluster_id, hit_id AS risk_event_id, rank AS near, round(1 / (1.0::DOUBLE + abs(length('cluster ' || query_id) - length('event no ' || hit_id * hit_id))), 4) AS score FROM k)
+    SELECT cluster_id, risk_event_id, 'event no ' || risk_event_id * risk_event_id AS risk_event_title, score, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, near)::INT AS rank FROM s QUALIFY rank <= 3""")
+def rerank_topk(spark, sf_dir):
+    query = fx.cluster_vectors(spark, sf_dir).select(F.col("vec_id").alias("cluster_id"), "gm_code", F.concat(F.lit("cluster "), "vec_id").alias("title"), "embedding")
+    title = F.concat(F.lit("event no "), F.col("vec_id") * F.col("vec_id"))
+    known = fx.risk_event_kb(spark, sf_dir).select(F.col("vec_id").alias("risk_event_id"), "gm_code", title.alias("risk_event_title"), "embedding")
+    return stages.reranked_candidates(query, known, LengthReranker)
+
+
 _PAIRS = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings),
     p AS (SELECT q.vec_id AS a, b.vec_id AS b, q.label AS label, {_DISTANCE} AS distance FROM e q JOIN e b ON q.label = b.label AND q.vec_id < b.vec_id WHERE {_DISTANCE} < 0.7)"""
 _COMPONENTS = f"""{_PAIRS}, u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
@@ -332,7 +440,7 @@ _SPLIT = '{"summaries":[{"text":"first","original_indices":[0,1,2]},{"text":"sec
 def cluster_split(spark, sf_dir):
     n = fx.table(spark, sf_dir, "nation")
     first = n.select(F.col("n_regionkey").alias("cluster_id"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
-    members = dedup.top_k(first, ["cluster_id"], [F.col("id").asc()], 1000, "rank").withColumn("pos", (F.col("rank") - 1).cast("int")).drop("rank")
+    members = dedup.top_k(first, ["cluster_id"], [F.col("id").asc()], 2**31 - 1, "rank").withColumn("pos", (F.col("rank") - 1).cast("int")).drop("rank")
     answers = first.select("cluster_id").distinct().withColumn("answer", F.when(F.col("cluster_id") == 0, _SPLIT).when(F.col("cluster_id") == 1, '{"summaries":[{"text":"x","original_indices":[0]}]}'))
     return clusters.split(members, answers)
 
@@ -349,6 +457,17 @@ def embedding_cache_misses(spark, sf_dir):
     return clusters.cache_misses(part, part.where("p_size > 45").select("p_name").distinct(), "p_name")
 
 
+@register("""SELECT p_brand AS cluster_id, p_type AS gm_code, p_name AS title, count(*) AS voices FROM part WHERE p_size % 5 != 0 AND p_size % 7 != 0 AND p_type != 'ECONOMY' GROUP BY ALL""")
+def search_tasks(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    code = F.when(F.col("p_type") != "ECONOMY", F.col("p_type")).otherwise("unknown")
+    voices = part.select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).otherwise("UNCLUSTERED").alias("batch_cluster_id"),
+        F.when(F.col("p_size") % 7 != 0, F.col("p_name")).otherwise("").alias("batch_cluster_title"), code.alias("gm_code"),
+    )
+    return matching.search_tasks(voices)[0]
+
+
 # Matching
 
 NOW = "2001-08-01"
@@ -553,6 +672,18 @@ def json_columns(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), payload.alias("payload"))
 
 
+@register("SELECT p_partkey AS id, 'Summarize the message in one sentence.' || chr(10) || p_name AS prompt FROM part")
+def prompt_texts(spark, sf_dir):
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.prompt(models.SUMMARIZE, title=F.col("p_name")).alias("prompt"))
+
+
+@register("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def json_literals(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 3, "no {json").otherwise(F.concat(F.lit("{'none': None, 'yes': True, 'k': "), k, F.lit(",}")))
+    return fx.table(spark, sf_dir, "events").select("event_id", payloads.parsed(raw, "k long")["k"].alias("k"))
+
+
 # Model answers
 
 SUMMARY_ANSWERS = ['{"summaries":[{"text":" a ","original_indices":[0,1]},{"text":"b","original_indices":[2]}]}', '{"summaries":[{"text":"a","original_indices":[0]}]}', '{"summaries":[]}', "{}", "junk", '{"summaries":[{"text":"","original_indices":[0,1,2]},{"text":"c","original_indices":[0,1,2,9]}]}']
@@ -608,3 +739,22 @@ def stream_event_state(spark, sf_dir):
     job = worker.Worker(spark, folder, decide)
     job.start(_stream(spark, sf_dir), f"{folder}/checkpoint", availableNow=True).awaitTermination()
     return job.events.version().select("risk_event_id", "status", "risk_event_volume", "initial_timestamp")
+
+
+@register(r"""WITH v AS (SELECT event_id, ts, event_type AS t, 'Customer reports a problem with ' || event_type AS title FROM events), e AS (SELECT t, any_value(title) AS title, min(event_id) AS first FROM v GROUP BY t)
+    SELECT 'evt' || substr(sha256(concat_ws('|', 'G_' || t, first)), 1, 24) AS risk_event_id, regexp_replace(any_value(e.title), '\s+', '', 'g') AS risk_event_title, 'active' AS status, 'G_' || t AS gm_code, 'line_' || t AS goc_product_line, 'feedback' AS data_source,
+        count(*) AS risk_event_volume, min(ts) AS initial_timestamp, 1 AS known, CASE WHEN count(*) >= 3 THEN 'first_alert' END AS alert_type
+    FROM v JOIN e USING (t) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR GROUP BY t, first""")
+def engine_job(spark, sf_dir):
+    """All stages, from raw voices to events, knowledge and alerts, in one streaming run."""
+    kinds = ["view", "signup", "purchase", "click", "error"]
+    lines = spark.createDataFrame([(f"G_{k}", f"line_{k}", k, None) for k in kinds], "gm_code string, goc_product_line string, entity string, action string")
+    folder = worker.work_folder(spark, "engine")
+    resources = job.Resources(routing.keyword_table(lines), model=models.OfflineModel)
+    engine = job.Engine(spark, folder, resources, Settings(split_members=0))
+    title = F.concat(F.lit("Customer reports a problem with "), "event_type")
+    voices = _stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("voice_id"), title.alias("title"), F.col("ts").alias("gmt_create"))
+    engine.start(voices, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    known = engine.knowledge.read().groupBy("risk_event_id").agg(F.count("*").cast("int").alias("known"))
+    events = engine.events.version().select("risk_event_id", "risk_event_title", "status", "gm_code", "goc_product_line", "data_source", "risk_event_volume", "initial_timestamp")
+    return events.join(known, "risk_event_id", "left").join(engine.alerts.read().select("risk_event_id", "alert_type"), "risk_event_id", "left")

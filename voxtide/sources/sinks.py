@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class EpochTable:
-    """An append-only table as one folder per epoch."""
+    """An append-only table as one folder per epoch, and, with ``day_of``, one per day of that time within."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, day_of: str | None = None) -> None:
+        self.spark, self.path, self.schema, self.day_of = spark, path, schema, day_of
 
     def ensure(self) -> None:
         """Create the table, empty, if it isn't there."""
@@ -20,12 +20,28 @@ class EpochTable:
             self.write(self.spark.createDataFrame([], self.schema), -1)
 
     def write(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        rows = df.withColumn("day", F.to_date(self.day_of)) if self.day_of else df
+        writer = rows.write.partitionBy("day") if self.day_of else rows.write
+        writer.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def read(self, before: int | None = None, since: Column | None = None) -> DataFrame:
+        """All epochs, or those before one: what a replay of it must see; ``since``: only the folders of that day and later."""
+        rows = self.spark.read.schema(f"{self.schema}, epoch long{', day date' if self.day_of else ''}").parquet(self.path)
+        if since is not None and self.day_of:
+            rows = rows.where(F.col("day") >= F.to_date(since))
+        return (rows.where(F.col("epoch") < before) if before is not None else rows).drop("epoch", "day")
+
+    def committed(self) -> set[int]:
+        """Epochs that are written, by their folders (an empty one has no rows to tell of it)."""
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        folders = [x.getPath() for x in files.listStatus(path)]
+        return {int(p.getName()[6:]) for p in folders if p.getName().startswith("epoch=") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All epochs, or those before one: what a replay of it must see."""
-        rows = self.spark.read.schema(f"{self.schema}, epoch long").parquet(self.path)
-        return (rows.where(F.col("epoch") < before) if before is not None else rows).drop("epoch")
+    def epoch(self, epoch: int) -> DataFrame:
+        """What one epoch wrote."""
+        return self.spark.read.schema(f"{self.schema}, epoch long{', day date' if self.day_of else ''}").parquet(self.path).where(F.col("epoch") == epoch).drop("epoch", "day")
 
 
 class StateTable(EpochTable):
@@ -33,18 +49,5 @@ class StateTable(EpochTable):
 
     def version(self, before: int | None = None) -> DataFrame:
         rows = self.spark.read.schema(f"{self.schema}, epoch long").parquet(self.path)
-        done = [r["epoch"] for r in self._epochs() if before is None or r["epoch"] < before]
+        done = [e for e in self.committed() if before is None or e < before]
         return rows.where(F.col("epoch") == max(done)).drop("epoch")
-
-    def _epochs(self) -> list[dict[str, int]]:
-        """Committed versions, by their folders (an empty version has no rows to tell of it)."""
-        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        folders = [x.getPath() for x in files.listStatus(path)]
-        return [{"epoch": int(p.getName()[6:])} for p in folders if p.getName().startswith("epoch=") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-
-def mapping_rows(decided: DataFrame) -> DataFrame:
-    """Voice-to-event rows; a voice without an event has none."""
-    return decided.where(F.col("risk_event_id").isNotNull()).select("voice_id", "risk_event_id", "voice_date")

@@ -37,12 +37,18 @@ def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def timed_voices(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(voices with an id and a time, quarantined rows without)."""
+    good = F.col("voice_id").isNotNull() & F.col("gmt_create").isNotNull()
+    return df.where(good), df.where(~good)
+
+
 def nested_voices(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(voices with a struct of source fields and dates as text, quarantined rows without an id or a time)."""
-    good = F.col("voice_id").isNotNull() & F.col("gmt_create").isNotNull()
+    good, bad = timed_voices(df)
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     meta = F.struct(text("gmt_create"), text("add_date"), *[F.col(c) for c in ("voice_channel", "uid", "voice_detail_link") if c in df.columns])
-    return df.where(good).select("id", "voice_id", F.col("title").alias("voice_title"), meta.alias("source_metadata")), df.where(~good)
+    return good.select("id", "voice_id", F.col("title").alias("voice_title"), meta.alias("source_metadata")), bad
 
 
 def stopwords(spark: SparkSession, path: str) -> Column:
@@ -51,9 +57,9 @@ def stopwords(spark: SparkSession, path: str) -> Column:
     return F.array(*[F.lit(r["w"]) for r in sorted(rows, key=lambda r: r["w"])]).cast("array<string>")
 
 
-def keyword_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """gm_code, goc_product_line, entity, action of a CSV file or a Parquet table; an empty cell is null."""
-    if path.endswith(".csv"):
+def keyword_dictionary(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """gm_code, goc_product_line, entity, action of a CSV file or a Parquet table (``kind``, or by the name); an empty cell is null."""
+    if kind == "csv" or kind is None and path.endswith(".csv"):
         return spark.read.csv(path, header=True, schema="gm_code string, goc_product_line string, entity string, action string")
     return spark.read.parquet(path).select("gm_code", "goc_product_line", "entity", "action")
 
