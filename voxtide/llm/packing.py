@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
 from voxtide.llm.common import gives_back, local_table, salted_rank, stored
 
-#: Distinct strings that a worker remembers the ids of (some 200 bytes each), in each of two generations.
-MEMO = 100_000
+#: Distinct strings that a worker remembers the ids of (some 200 bytes each): pieces, and chunks in each of two generations.
+MEMO = 200_000
+#: Bits by which a worker knows a chunk that it has met before: most are met once, and only the others are remembered.
+MET = 1 << 23
 
 
 class ChunkTokenizer(dict):
@@ -57,6 +59,7 @@ class ChunkTokenizer(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.pieces: dict[str, bytes] = {}
+        self.met = bytearray(MET >> 3)
         self.split = regex.compile(self.PATTERN).findall
         others = [b for b in range(256) if b not in self.SELF]
         self.letters = {b: chr(b) for b in self.SELF} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -65,6 +68,7 @@ class ChunkTokenizer(dict):
         self.clear()
         self.old = {}
         self.pieces = {}
+        self.met = bytearray(MET >> 3)
 
     def _library(self, chunk: bytes) -> bytes:
         return np.array(self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,7 +83,7 @@ class ChunkTokenizer(dict):
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
-        if len(self.pieces) >= MEMO:
+        if len(self.pieces) >= 3 * MEMO // 2:
             self.pieces = {}
         if (ids := self.old.get(chunk)) is not None:
             self[chunk] = ids
@@ -90,7 +94,11 @@ class ChunkTokenizer(dict):
         else:
             ids = self._library(chunk)
         if len(chunk) <= 64:
-            self[chunk] = ids
+            bit = hash(chunk) & (MET - 1)
+            if self.met[bit >> 3] >> (bit & 7) & 1:
+                self[chunk] = ids
+            else:
+                self.met[bit >> 3] |= 1 << (bit & 7)
         return ids
 
     def ids(self, text: bytes) -> bytes:
