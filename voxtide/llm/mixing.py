@@ -43,7 +43,7 @@ TELLING = 16.0
 #: With fewer documents to calibrate on, the evidence counts as it is.
 FEW = 40
 #: Passes of the fit at most; steps between two writes; the fit is stationary if PATIENCE passes lessen the squares by under STILL of them.
-STEPS, CHAIN, PATIENCE, STILL = 80, 8, 6, 1e-3
+STEPS, CHAIN, PATIENCE, STILL = 80, 8, 8, 1e-3
 
 
 def words(text: Column) -> Column:
