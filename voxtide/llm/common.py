@@ -99,28 +99,34 @@ def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
     return lean
 
 
-def maybe_among(columns: list[Column], keys: DataFrame, words: int = FILTER_WORDS) -> Column:
-    """False only where the values of ``columns`` are none of the rows of ``keys``: a Bloom filter of two bits in one word.
+def _bits(values: list[Column], size: int) -> tuple[Column, Column]:
+    """A key's word of a filter of ``size`` words, and its two bits there."""
+    h = F.xxhash64(*values)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, n).bitwiseAND(63).cast("int")) for n in (40, 48)]
+    return F.pmod(h, F.lit(size)).cast("int"), bits[0].bitwiseOR(bits[1])
 
-    It has 16 bits a key and at most ``words`` words, whatever the number of keys; with more keys it lets more rows through,
-    which costs a join its advantage and never its rows. The driver holds the words alone.
-    """
-    spark = keys.sparkSession
+
+def filter_words(keys: DataFrame, words: int = FILTER_WORDS) -> np.ndarray:
+    """A Bloom filter of the rows of ``keys``: 64-bit words, two bits a key in one word; 16 bits a key and at most ``words`` words."""
     size, n = 64, keys.count()
     while size < words and size * 4 < n:
         size *= 2
-
-    def placed(values: list[Column]) -> tuple[Column, Column]:
-        h = F.xxhash64(*values)
-        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, n).bitwiseAND(63).cast("int")) for n in (40, 48)]
-        return F.pmod(h, F.lit(size)).cast("int"), bits[0].bitwiseOR(bits[1])
-
-    at, mask = placed([F.col(c) for c in keys.columns])
+    at, mask = _bits([F.col(c) for c in keys.columns], size)
     found = keys.select(at.alias("at"), mask.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(size, np.int64)
     table[found["at"].to_numpy()] = found["bits"].to_numpy()
-    one = spark.createDataFrame(pa.table({"words": pa.array([table], pa.list_(pa.int64()))}), "words array<long>")
-    at, mask = placed(columns)
+    return table
+
+
+def maybe_among(columns: list[Column], keys: DataFrame, words: int = FILTER_WORDS) -> Column:
+    """False only where the values of ``columns`` are none of the rows of ``keys``: a Bloom filter of two bits in one word.
+
+    It has 16 bits a key and at most ``words`` words, whatever the number of keys; with more keys it lets more rows through,
+    which costs a join its advantage and never its rows. The driver holds the words alone.
+    """
+    table = filter_words(keys, words)
+    one = keys.sparkSession.createDataFrame(pa.table({"words": pa.array([table], pa.list_(pa.int64()))}), "words array<long>")
+    at, mask = _bits(columns, len(table))
     return F.get(one.scalar(), at).bitwiseAND(mask) == mask
 
 

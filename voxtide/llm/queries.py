@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import chat, divergence, exact_dedup, html_text, langid, lattice, media, mixing, near_dedup, packing, sharding, warc
+from voxtide.llm import chat, divergence, exact_dedup, html_text, langid, lattice, media, mixing, near_dedup, packing, phrases, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ def op12_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_lattice_scores": op12_lattice_scores,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 def _chat_sql() -> str:
@@ -158,6 +163,25 @@ ORACLES: dict[str, str] = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
         WHERE part = 'pair' OR rank <= 10""",
     "op8_chat_format": _chat_sql(),
+    "op13_phrase_mining": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+             q AS (SELECT i, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS j FROM (SELECT i, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS p FROM d)),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q),
+             n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY ALL),
+             f AS (SELECT lang, size, phrase, count(*) AS f FROM (
+                       SELECT lang, size, unnest([array_to_string(w[s : s + size - 1], ' ') FOR s IN range(1, len(w) - size + 2)]) AS phrase
+                       FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size) GROUP BY ALL HAVING count(*) >= 100),
+             c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+             i AS (SELECT lang, phrase, max(a) AS a FROM (
+                       SELECT lang, a, unnest(list_distinct(flatten([[array_to_string(w[s : s + z - 1], ' ') FOR s IN range(1, size - z + 2)] FOR z IN range(2, size)]))) AS phrase
+                       FROM c WHERE size > 2) GROUP BY ALL),
+             k AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE i.a IS NULL OR 100 * i.a < 100 * c.a),
+             u AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS l, array_to_string(w[k + 1 : size], ' ') AS r FROM (SELECT *, unnest(range(1, size)) AS k FROM k)),
+             s AS (SELECT u.lang, u.phrase, u.a, u.k, l.f AS l, r.f AS r, n.n, 1000::HUGEINT * u.a * n.n // (l.f::HUGEINT * r.f) AS score
+                   FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.l JOIN f r ON r.lang = u.lang AND r.phrase = u.r JOIN n ON n.lang = u.lang),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM b QUALIFY rank <= 2000""",
     "op1_warc": """
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id != first_id THEN 'revisit' ELSE 'response' END AS record_type,
