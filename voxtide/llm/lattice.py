@@ -122,12 +122,17 @@ def _edges(letters: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, int, np.nd
                 yield i, j + 1, words[whole], found[whole]
 
 
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(exp(a) + exp(b)); b is finite."""
+    return np.maximum(a, b) + np.log(1 + np.exp(-np.abs(a - b)))
+
+
 def _forward(letters: np.ndarray, v: Vocabulary, log_p: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """alpha (words x places): the log of the summed weight of all paths to a place. Byte pieces of a leading space can't occur."""
-    alpha = np.full((letters.shape[1] + 1, len(letters)), -np.inf)
+    """alpha (places x words x columns of ``log_p``): the log of the summed weight of all paths to a place."""
+    alpha = np.full((letters.shape[1] + 1, len(letters), log_p.shape[1]), -np.inf)
     alpha[0] = 0.0
     for i, j, words, pieces in _edges(letters, v):
-        alpha[j, words] = np.logaddexp(alpha[j, words], alpha[i, words] + log_p[pieces])
+        alpha[j, words] = _add(alpha[j, words], alpha[i, words] + log_p[pieces])
         if keep is not None:
             keep.append((i, j, words, pieces))
     return alpha
@@ -171,13 +176,14 @@ def _batches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
 
 
 def word_scores(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary, log_p: np.ndarray) -> np.ndarray:
-    """Natural log of the marginal probability of each word."""
-    out = np.zeros(len(starts))
+    """Natural log of the marginal probability of each word (rows) under each component (rows of ``log_p``)."""
+    out, columns = np.zeros((len(starts), len(log_p))), np.ascontiguousarray(log_p.T)
     for places, letters in _batches(raw, starts, ends):
-        alpha = _forward(letters, v, log_p)
+        alpha = _forward(letters, v, columns)
         out[places] = alpha[1 + (ends - starts)[places], np.arange(len(places))]
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        out[i] = _long(b" " + raw[starts[i] : ends[i]].tobytes(), v, log_p)[0][-1]
+        word = b" " + raw[starts[i] : ends[i]].tobytes()
+        out[i] = [_long(word, v, lp)[0][-1] for lp in log_p]
     return out
 
 
@@ -186,13 +192,13 @@ def expected(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.
     total = np.zeros(len(v))
     for places, letters in _batches(raw, starts, ends):
         edges: list = []
-        alpha = _forward(letters, v, log_p, edges)
+        alpha = _forward(letters, v, log_p[:, None], edges)[:, :, 0]
         last, each = 1 + (ends - starts)[places], np.arange(len(places))
         beta = np.full_like(alpha, -np.inf)
         beta[last, each] = np.log(weights[places]) - alpha[last, each]
         for i, j, words, pieces in reversed(edges):
             after = log_p[pieces] + beta[j, words]
-            beta[i, words] = np.logaddexp(beta[i, words], after)
+            beta[i, words] = _add(beta[i, words], after)
             total += np.bincount(pieces, np.exp(alpha[i, words] + after), len(v))
     for w in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         alpha, into = _long(b" " + raw[starts[w] : ends[w]].tobytes(), v, log_p)
@@ -294,7 +300,7 @@ def score_words(model: Model):
             counts = _counts(batch.column(1))
             for block in text_blocks(batch.column(0)):
                 raw, here = padded(block.raw), counts[block.first : block.first + len(block)]
-                lattice = np.stack([word_scores(raw, block.bounds[:-1], block.bounds[1:], v, lp) for lp in model.log_p], axis=1)
+                lattice = word_scores(raw, block.bounds[:-1], block.bounds[1:], v, model.log_p)
                 p = pa.FixedSizeListArray.from_arrays(pa.array(model.word_log10(here, lattice).ravel()), here.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(here.sum(axis=1)), p], names=["word", "c", "p"])
 

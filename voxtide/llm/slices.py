@@ -159,7 +159,7 @@ def grouped(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
             order, new = None, first
         else:
             h = _hash_of_length(lanes, begin, length, np.full(len(at), SEED, "u8"))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             same = h[order][1:] == h[order][:-1]
             equal = _equal(lanes, begin[order], length)
             if (same & ~equal).any():  # two texts of one hash
@@ -201,7 +201,7 @@ def strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sum of each weight over the rows of a key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     cuts = np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1)) if len(ordered) else np.zeros(0, np.int64)
     return ordered[cuts], *(np.add.reduceat(w[order], cuts) if len(cuts) else w[:0] for w in weights)
