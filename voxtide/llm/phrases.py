@@ -42,6 +42,8 @@ STOPS, BLANKS = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 IN_PIECE, IN_WORD = lookup(*STOPS), lookup(*STOPS, *BLANKS)
 #: What DuckDB may hold of a bucket in memory, and the bytes of phrases that a task gathers before it deals them out.
 MEMORY, GATHERED = "192MB", 1 << 23
+#: Exact: of 36 and 38 digits.
+SCORE = "(1000BD * CAST(a AS DECIMAL(16,0)) * CAST(n AS DECIMAL(16,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("m", pa.int64())])
 
 
@@ -241,7 +243,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cuts = cuts.select("lang", "phrase", "a", "k", left.alias("left"), right.alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(counts.select("lang", F.col("gram").alias(side), F.col("f").alias(name)), ["lang", side])
-    cuts = cuts.join(total, "lang").withColumn("score", F.expr("(1000BD * CAST(a AS DECIMAL(16,0)) * CAST(n AS DECIMAL(16,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"))
+    cuts = cuts.join(total, "lang").withColumn("score", F.expr(SCORE))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()))
     return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
