@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.text import prompt
+from voxtide.sources.shared import written
 
 
 class Embedder(Protocol):
@@ -153,7 +154,8 @@ def attempt(call: Callable[[], object], times: int = 2, pause: float = 0.5) -> t
 
 
 def embedded(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embedder], batch: int = 64, column: str = "embedding") -> DataFrame:
-    """``df`` with the vector of a text and an error; each distinct text is embedded once, failed batches are null."""
+    """``df`` with the vector of a text and an error; each distinct text is embedded once, failed batches are null. The result is written:
+    however often it is read, nothing is asked again (``df`` itself is read twice, so it asks nothing, or is written)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = make()
@@ -168,7 +170,7 @@ def embedded(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embed
 
     texts = df.select(F.col(text_col).alias("_text")).where("_text IS NOT NULL").distinct()
     vectors = texts.mapInPandas(run, f"_text string, {column} array<double>, {column}_error string")
-    return df.join(vectors, df[text_col] == F.col("_text"), "left").drop("_text")
+    return written(df.join(vectors, df[text_col] == F.col("_text"), "left").drop("_text"), "embedded")
 
 
 def answered(df: DataFrame, id_col: str, prompt_col: str, make: Callable[[], LanguageModel], workers: int = 8) -> DataFrame:
@@ -191,17 +193,17 @@ def without_thoughts(answer: Column) -> Column:
 
 
 def summarized(voices: DataFrame, id_col: str, title_col: str, make: Callable[[], LanguageModel], template: str = SUMMARIZE) -> DataFrame:
-    """``voices`` with initial_summary_text (the masked title where the model fails), initial_summary_id and summary_error."""
+    """``voices`` with initial_summary_text (the masked title where the model fails), initial_summary_id and summary_error; written, as ``embedded``."""
     titles = voices.select(F.col(title_col).alias("_asked")).where("_asked IS NOT NULL").distinct()  # each once
     got = answered(titles.withColumn("prompt", prompt(template, title=F.col("_asked"))), "_asked", "prompt", make).withColumnRenamed("error", "summary_error")
     clean = without_thoughts(F.col("answer"))
     joined = voices.join(got, voices[title_col] == got["_asked"], "left").withColumn("initial_summary_text", F.coalesce(clean, F.col(title_col)))
     key = F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), "initial_summary_text"), 256), 1, 24)
-    return joined.withColumn("initial_summary_id", F.concat(F.lit("sum"), key)).drop("_asked", "answer")
+    return written(joined.withColumn("initial_summary_id", F.concat(F.lit("sum"), key)).drop("_asked", "answer"), "summarized")
 
 
 def reranked(hits: DataFrame, query_col: str, text_col: str, make: Callable[[], Reranker], digits: int = 4) -> DataFrame:
-    """``hits`` with ``score``: rows of one query in a batch go to the service together; a failed call gives null."""
+    """``hits`` with ``score``: rows of one query in a batch go to the service together; a failed call gives null. Written, as ``embedded``."""
     columns = hits.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,4 +217,4 @@ def reranked(hits: DataFrame, query_col: str, text_col: str, make: Callable[[],
             yield frame.assign(score=score.round(digits))[[*columns, "score"]]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in hits.dtypes if n != "score") + ", score double"
-    return hits.mapInPandas(run, schema)
+    return written(hits.mapInPandas(run, schema), "reranked")

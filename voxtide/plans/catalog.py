@@ -714,7 +714,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def _stream(spark, sf_dir):
-    return worker.file_stream(spark, sf_dir, EVENTS, only="events.parquet")
+    return worker.file_stream(spark, f"{sf_dir}/events.parque[t]", EVENTS)  # a pattern: the table is a file, or a folder of parts
 
 
 @register("""SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2

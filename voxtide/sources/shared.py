@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +27,29 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("tables of the innermost scope", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are ``written`` within it are deleted at its end, whether it ends well or not."""
+    mine: list[DataFrame] = []
+    before = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        dropped(*mine)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table of its own: its lineage is cut, a lost executor costs a read, and later joins know its size."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if (tables := _scope.get()) is not None:
+        tables.append(out)
     return out
 
 

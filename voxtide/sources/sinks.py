@@ -31,13 +31,16 @@ class EpochTable:
             rows = rows.where(F.col("day") >= F.to_date(since))
         return (rows.where(F.col("epoch") < before) if before is not None else rows).drop("epoch", "day")
 
-    def committed(self) -> set[int]:
-        """Epochs that are written, by their folders (an empty one has no rows to tell of it)."""
+    def _files(self, *names: str):
+        """The table's file system, and paths in its folder."""
         jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        folders = [x.getPath() for x in files.listStatus(path)]
-        return {int(p.getName()[6:]) for p in folders if p.getName().startswith("epoch=") and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+        paths = [jvm.org.apache.hadoop.fs.Path("/".join([self.path, *([n] if n else [])])) for n in names]
+        return paths[0].getFileSystem(context._jsc.hadoopConfiguration()), *paths
+
+    def has(self, epoch: int) -> bool:
+        """Whether an epoch is written (an empty one has no rows to tell of it): one look, however many there are."""
+        files, mark = self._files(f"epoch={epoch}/_SUCCESS")
+        return files.exists(mark)
 
     def epoch(self, epoch: int) -> DataFrame:
         """What one epoch wrote."""
@@ -45,9 +48,19 @@ class EpochTable:
 
 
 class StateTable(EpochTable):
-    """A table rewritten each epoch; the newest version is the state."""
+    """A table of state: every version whole, the two newest kept (a replay of the last epoch reads the one before)."""
+
+    def versions(self) -> list[int]:
+        """The epochs of the versions, oldest first; their folders are few, as ``write`` deletes the old ones."""
+        files, root = self._files("")
+        return sorted(int(x.getPath().getName()[6:]) for x in files.listStatus(root) if x.getPath().getName().startswith("epoch="))
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        super().write(df, epoch)
+        for old in [e for e in self.versions() if e < epoch][:-1]:
+            files, path = self._files(f"epoch={old}")
+            files.delete(path, True)
 
     def version(self, before: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(f"{self.schema}, epoch long").parquet(self.path)
-        done = [e for e in self.committed() if before is None or e < before]
-        return rows.where(F.col("epoch") == max(done)).drop("epoch")
+        last = max(e for e in self.versions() if (before is None or e < before) and self.has(e))
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch={last}")

@@ -14,7 +14,7 @@ from voxtide import models, schemas
 from voxtide.config import DEFAULTS, Settings
 from voxtide.operators.snapshot import active_events, last_snapshots, snapshot
 from voxtide.plans.stages import manage_events
-from voxtide.sources.shared import work_folder
+from voxtide.sources.shared import scratch, work_folder
 from voxtide.sources.sinks import EpochTable, StateTable
 
 __all__ = ["Worker", "cadence", "drained", "file_stream", "first_seen", "windowed_counts", "work_folder"]
@@ -58,7 +58,12 @@ class Worker:
         return None if latest is None else F.lit(latest).cast("timestamp_ntz")
 
     def process(self, batch: DataFrame, epoch: int) -> None:
-        if epoch not in self.decided.committed():
+        """One epoch; the tables that it writes on its way are gone when it ends."""
+        with scratch():
+            self._process(batch, epoch)
+
+    def _process(self, batch: DataFrame, epoch: int) -> None:
+        if not self.decided.has(epoch):
             self.decided.write(shaped(self.decisions(batch, epoch), schemas.DECIDED), epoch)
         decided = self.decided.epoch(epoch)
         as_of = self.now(decided)
