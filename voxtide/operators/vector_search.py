@@ -68,7 +68,7 @@ def block_join(left: DataFrame, right: DataFrame, on: str | None, id_col: str, v
         cut = int(np.searchsorted(sides, 1))
         if cut in (0, len(sides)):
             return None
-        vectors = np.array(group["vec"].to_pylist(), float)
+        vectors = group["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sides), -1)
         ids_a, ids_b = group["a"].slice(0, cut).combine_chunks(), group["b"].slice(cut).combine_chunks()
         distance = _distances(vectors[:cut], vectors[cut:], digits)
         i, j = choose(distance, ids_a, ids_b)
