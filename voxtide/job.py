@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from voxtide import models, schemas
 from voxtide.config import DEFAULTS, Settings
-from voxtide.operators import routing
+from voxtide.operators import routing, segmentation
 from voxtide.plans import stages
 from voxtide.sources import tables
-from voxtide.streaming.worker import Worker, cadence, file_stream
+from voxtide.sources.sinks import EpochTable
+from voxtide.streaming.worker import Worker, cadence, file_stream, shaped
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Resources:
     rules: stages.Rules = field(default_factory=stages.Rules)
     words: Sequence[str] = ()
     stopwords: Column | None = None
+    costs: segmentation.Costs | None = None
     collections: dict[str, DataFrame] = field(default_factory=dict)
     false_positives: DataFrame | None = None
     embedder: Callable = models.HashEmbedder
@@ -33,12 +35,18 @@ class Resources:
 
 
 class Engine(Worker):
-    """A worker that takes raw voices (id, voice_id, title, gmt_create) through all stages. Events that an epoch makes are known to the
+    """A worker that takes raw voices (id, voice_id, title, gmt_create) through all stages; those without an id or a time are kept in quarantine. Events that an epoch makes are known to the
     next ones by the vector of their title."""
 
     def __init__(self, spark: SparkSession, folder: str, resources: Resources, s: Settings = DEFAULTS, clock: Callable[[DataFrame], Column] | None = None) -> None:
         super().__init__(spark, folder, None, s, clock, resources.embedder)
         self.resources = resources
+        self.quarantine = EpochTable(spark, f"{folder}/quarantine", schemas.QUARANTINE)
+        self.quarantine.ensure()
+
+    def replayed(self) -> DataFrame:
+        """Quarantined rows in the shape of the source, to be mended and handed in again."""
+        return shaped(self.quarantine.read(), schemas.VOICE_SOURCE)
 
     def _semantic(self, missed: DataFrame) -> DataFrame:
         columns = "id string, gm_code string, goc_product_line string, score double, collection_name string, document string"
@@ -52,8 +60,9 @@ class Engine(Worker):
         as_of = self.now(batch)
         if as_of is None:
             return batch.limit(0)
-        good, _ = tables.timed_voices(batch)
-        enriched = stages.route_and_enrich(good, r.rules, r.keywords, self._semantic, r.embedder, r.model, s, r.words, r.stopwords)
+        good, bad = tables.timed_voices(batch)
+        self.quarantine.write(shaped(bad.withColumn("reason", tables.quarantine_reason()), schemas.QUARANTINE), epoch)
+        enriched = stages.route_and_enrich(good, r.rules, r.keywords, self._semantic, r.embedder, r.model, s, r.words, r.stopwords, r.costs)
         grouped = stages.summarize_clusters(stages.cluster(enriched, s), r.model, s)
         known, state = self.knowledge.read(before=epoch), self.events.version(before=epoch)
         wrong = r.false_positives if r.false_positives is not None else known.limit(0).select("risk_event_id", "gm_code", "embedding")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtide import fixtures as fx
+from voxtide import job, models
 from voxtide.config import Settings
 from voxtide.fixtures import with_views
-from voxtide.operators import increments, rule_automaton, segmentation
+from voxtide.operators import increments, routing, rule_automaton, segmentation
 from voxtide.plans.catalog import _ALL, _ANY, _CHINESE, _EXCLUDE, _KNN, _PREFIX, _WITHIN, BASE, ORACLES, RULES, WORDS, _checks, _stream, at, register
 from voxtide.sources import vector_index
 from voxtide.sources.shared import work_folder, written
@@ -114,3 +115,29 @@ def stream_alerts(spark, sf_dir):
 def stream_snapshots(spark, sf_dir):
     """A snapshot of every event each ten minutes, from timers of its state."""
     return state.drained(state.snapshots(_stream(spark, sf_dir), "event_type", "ts"), "snapshots")
+
+
+# All stages over two epochs
+
+
+@register(r"""WITH v AS (SELECT event_id, ts, event_type AS t, ts >= TIMESTAMP '2024-01-30 06:00:00' AS late FROM events WHERE ts >= TIMESTAMP '2024-01-30 06:00:00' OR event_type IN ('view', 'signup', 'purchase')),
+    f AS (SELECT t, min(late) AS late, arg_min(event_id, (late, event_id)) AS first FROM v GROUP BY t),
+    i AS (SELECT t, late, 'sub' || substr(sha256(concat_ws('|', 'evt' || substr(sha256(concat_ws('|', 'G_' || t, first)), 1, 24), 0)), 1, 24) AS risk_event_id FROM f)
+    SELECT i.risk_event_id, 'Customer reports a problem with ' || t AS risk_event_title, CASE WHEN v.late AND NOT i.late THEN 'merge' ELSE 'create_new' END AS decision, count(*) AS voices,
+        count_if(v.ts >= (SELECT max(ts) FROM v x WHERE x.late = v.late) - INTERVAL 6 HOUR) AS counted
+    FROM v JOIN i USING (t) GROUP BY ALL""")
+def engine_epochs(spark, sf_dir):
+    """All stages over two epochs, clusters split by the model: kinds of voices that the first epoch knows are merged by the second, the others are new events."""
+    kinds = ["view", "signup", "purchase", "click", "error"]
+    lines = spark.createDataFrame([(f"G_{k}", f"line_{k}", k, None) for k in kinds], "gm_code string, goc_product_line string, entity string, action string")
+    engine = job.Engine(spark, work_folder(spark, "engine"), job.Resources(routing.keyword_table(lines), model=models.OfflineModel))
+    title = F.concat(F.lit("Customer reports a problem with "), "event_type")
+    voices = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("voice_id"), title.alias("title"), F.col("ts").alias("gmt_create"), "event_type")
+    late = F.col("gmt_create") >= at("2024-01-30 06:00:00")
+    engine.process(voices.where(~late & F.col("event_type").isin(kinds[:3])).drop("event_type"), 0)
+    engine.process(voices.where(late).drop("event_type"), 1)
+    decided = engine.decided.epoch(0).withColumn("latest", F.lit(0)).unionByName(engine.decided.epoch(1).withColumn("latest", F.lit(1)))
+    ends = decided.groupBy("latest").agg(F.max("gmt_create").alias("end"))
+    known = engine.events.version().select("risk_event_id", "risk_event_title")
+    counted = (F.col("gmt_create") >= F.col("end") - F.expr("INTERVAL 6 HOURS")).cast("int")
+    return decided.join(ends, "latest").join(known, "risk_event_id").groupBy("risk_event_id", "risk_event_title", "decision").agg(F.count("*").alias("voices"), F.sum(counted).alias("counted"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtide import models
 from voxtide.config import DEFAULTS, Settings
 from voxtide.functions import text
-from voxtide.operators import accounting, baseline, clusters, matching, routing, vector_search
+from voxtide.operators import accounting, baseline, clusters, matching, routing, segmentation, vector_search
 from voxtide.operators.components import connected_components
 from voxtide.operators.dedup import keep_last, top_k
 from voxtide.sources.shared import written
@@ -65,15 +65,21 @@ def semantic_search(titles: DataFrame, collections: dict[str, DataFrame], embedd
 
 def route_and_enrich(
     voices: DataFrame, rules: Rules, keywords: DataFrame, semantic: Callable[[DataFrame], DataFrame], embedder, summarizer,
-    s: Settings = DEFAULTS, words: Sequence[str] = (), stopwords: Column | None = None,
+    s: Settings = DEFAULTS, words: Sequence[str] = (), stopwords: Column | None = None, costs: segmentation.Costs | None = None,
 ) -> DataFrame:
     """Clean voices (id, title, ...) with routes, primary code, summary and its vector; those without one of them go.
 
     Titles are routed once each (``title`` is the routing id), and joined back to their voices. ``words``: the dictionary that
-    Chinese titles are cut by; ``stopwords``: an array of words that don't count.
+    Chinese titles are cut by, with ``costs`` that were learned of it, or that these titles teach; ``stopwords``: an array of words that don't count.
     """
     kept = clean_and_filter(voices, rules)
-    titles = kept.select("title").distinct().withColumn("id", F.col("title")).withColumn("tokens", text.tokens(F.col("title"), stopwords, words=words))
+    titles = kept.select("title").distinct().withColumn("id", F.col("title"))
+    if words or costs:
+        titles = written(titles, "titles")
+        costs = costs or segmentation.learn(titles, words)
+        titles = titles.join(segmentation.tokens(titles, costs, stopwords), "id")
+    else:
+        titles = titles.withColumn("tokens", text.tokens(F.col("title"), stopwords))
     by_text = routing.keyword_route(titles, keywords, s.text_route_top_k)
     routes = routing.gather_routes(routing.hybrid_route(titles, by_text, semantic, s)).withColumnRenamed("id", "title")
     routed = routing.filter_routes(kept.join(routes, "title"), s)
@@ -106,21 +112,29 @@ def cluster(voices: DataFrame, s: Settings = DEFAULTS, exact: bool = True, dim:
 def summarize_clusters(clustered: DataFrame, model, s: Settings = DEFAULTS) -> DataFrame:
     """``clustered`` with the clusters split and titled by a language model: batch_cluster_id, batch_cluster_title, batch_cluster_success.
 
-    A cluster of more than ``split_members`` voices fits no prompt: it stays whole, under its title. One whose answer doesn't cover its
-    voices stays whole, under its shortest one. So no row ever holds more than that many titles.
+    A prompt lists distinct summaries, not voices, and ``split_members`` at most on average: a cluster with more of them is dealt over
+    several prompts by a hash, and groups of one text in different prompts are one. A prompt whose answer doesn't cover its messages leaves
+    them in the cluster, under its shortest title. Voices without a summary stay there too.
+    With ``split_members`` 0 nothing is asked.
     """
-    sizes = clustered.groupBy("batch_cluster_id").agg(F.count("*").alias("_n")).where(F.col("_n") <= s.split_members)
-    few = clustered.join(sizes.drop("_n"), "batch_cluster_id", "left_semi")
-    rows = few.select(F.col("batch_cluster_id").alias("cluster_id"), "id", F.col("initial_summary_text").alias("title"))
-    members = written(rows.withColumn("pos", (F.row_number().over(W.partitionBy("cluster_id").orderBy("id")) - 1).cast("int")), "members")
+    if s.split_members <= 0:
+        return clustered.withColumn("batch_cluster_success", F.lit(False))
+    texts = clustered.where("initial_summary_text IS NOT NULL").select("batch_cluster_id", F.col("initial_summary_text").alias("title")).distinct()
+    prompts = texts.groupBy("batch_cluster_id").agg(F.ceil(F.count("*") / F.lit(s.split_members)).alias("prompts"))
+    dealt = texts.join(prompts, "batch_cluster_id").withColumn("part", F.pmod(F.xxhash64("title"), F.col("prompts")))
+    dealt = dealt.withColumn("cluster_id", F.when(F.col("prompts") == 1, F.col("batch_cluster_id")).otherwise(F.concat_ws("#", "batch_cluster_id", "part")))
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy("title")) - 1
+    members = written(dealt.select("batch_cluster_id", "cluster_id", "prompts", F.col("title").alias("id"), "title", place.cast("int").alias("pos")), "members")
     listed = members.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda m: m["title"]).alias("messages"))
     asked = listed.select("cluster_id", text.prompt(models.SPLIT, messages=F.to_json("messages")).alias("prompt"))
     answers = models.answered(asked, "cluster_id", "prompt", model).select("cluster_id", models.without_thoughts(F.col("answer")).alias("answer"))
     answers = written(answers, "answers")
-    parts = clusters.split(members, answers).select("id", F.when(F.col("success") == 1, F.col("sub_cluster_id")).alias("_id"), F.col("batch_cluster_title").alias("_title"))
-    out = clustered.join(parts, "id", "left").withColumn("batch_cluster_success", F.col("_id").isNotNull())
+    parts = clusters.split(members.select("cluster_id", "pos", "id", "title"), answers).where("success = 1").join(members.select("cluster_id", F.col("id"), "prompts", F.col("batch_cluster_id").alias("_of")), ["cluster_id", "id"])
+    whole = F.when(F.col("prompts") == 1, F.col("sub_cluster_id")).otherwise(text.stable_id("sub", F.col("_of"), F.col("batch_cluster_title")))
+    parts = parts.select("_of", F.col("id").alias("_text"), whole.alias("_id"), F.col("batch_cluster_title").alias("_title"))
+    out = clustered.join(parts, (F.col("batch_cluster_id") == F.col("_of")) & (F.col("initial_summary_text") == F.col("_text")), "left").withColumn("batch_cluster_success", F.col("_id").isNotNull())
     out = out.withColumn("batch_cluster_id", F.coalesce("_id", "batch_cluster_id")).withColumn("batch_cluster_title", F.coalesce("_title", "batch_cluster_title"))
-    return written(out.drop("_id", "_title"), "clusters")
+    return written(out.drop("_of", "_text", "_id", "_title"), "clusters")
 
 
 def reranked_candidates(query: DataFrame, known: DataFrame, reranker, s: Settings = DEFAULTS) -> DataFrame:

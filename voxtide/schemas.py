@@ -1,6 +1,8 @@
 """Schemas of the logical tables, as DDL."""
 
 VOICE_SOURCE = "id long, voice_id string, title string, gmt_create timestamp_ntz, add_date timestamp_ntz, voice_channel string, uid string, voice_detail_link string"
+#: Voices without an id or a time, as they came.
+QUARANTINE = f"{VOICE_SOURCE}, reason string"
 ROUTE = "struct<gm_code:string,goc_product_line:string,voice_router_score:double,collection_name:string,document:string>"
 CANDIDATE = "struct<risk_event_id:string,risk_event_title:string,score:double,time_decay_factor:double,decision_score:double>"
 RISK_EVENT = (

@@ -43,6 +43,11 @@ def timed_voices(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good)
 
 
+def quarantine_reason() -> Column:
+    """Why ``timed_voices`` keeps a row back."""
+    return F.concat_ws(", ", F.when(F.col("voice_id").isNull(), "no voice_id"), F.when(F.col("gmt_create").isNull(), "no gmt_create"))
+
+
 def nested_voices(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(voices with a struct of source fields and dates as text, quarantined rows without an id or a time)."""
     good, bad = timed_voices(df)
