@@ -1,5 +1,6 @@
 """Models are asked once, whatever they answer; batches leave no tables behind; streams read tables of parts."""
 
+import json
 import os
 import sys
 import uuid
@@ -7,11 +8,13 @@ from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from voxtide import models
+from voxtide import job, models
 from voxtide.config import Settings
 from voxtide.operators import routing
 from voxtide.plans import catalog, stages
+from voxtide.sources.embedding_cache import EmbeddingCache
 from voxtide.sources.shared import scratch, shared_folder, written
 from voxtide.streaming import worker
 
@@ -121,3 +124,50 @@ def test_streams_read_tables_of_parts(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     one, parts = (sorted(map(tuple, catalog.QUERIES[name](spark, d).collect())) for d in (SF, str(tmp_path)))
     assert one == parts and one
+
+
+def test_each_text_is_embedded_once_over_all_epochs(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    keywords = routing.keyword_table(spark.createDataFrame([("G1", "line", "payment", None)], "gm_code string, goc_product_line string, entity string, action string"))
+    engine = job.Engine(spark, str(tmp_path / "engine"), job.Resources(keywords, embedder=lambda: CountingEmbedder(log)))
+    for epoch in range(3):
+        rows = [(epoch * 10 + i, None if i == 5 else f"v{epoch}-{i}", f"payment number {'abcdefgh'[i + epoch]} failed again", f"2024-01-01T0{epoch}:00:00") for i in range(6)]
+        batch = spark.createDataFrame(rows, "id long, voice_id string, title string, t string").withColumn("gmt_create", F.col("t").cast("timestamp_ntz")).drop("t")
+        engine.process(batch, epoch)
+    seen = calls(log)
+    assert set(seen.values()) == {1} and len(seen) == 7  # a to g, as titles, summaries and clusters
+    kept = engine.quarantine.read().collect()
+    assert [(r["id"], r["reason"]) for r in sorted(kept)] == [(5, "no voice_id"), (15, "no voice_id"), (25, "no voice_id")]
+    assert set(engine.replayed().columns) == {"id", "voice_id", "title", "gmt_create", "add_date", "voice_channel", "uid", "voice_detail_link"}
+
+
+def test_cache_of_texts(spark, tmp_path):
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"), 4)
+    texts = spark.createDataFrame([("a",), ("b",), ("a",)], "t string")
+    assert cache.found(texts, "t").count() == 0
+    for vector in ([2.0, 1.0], [1.0, 3.0]):
+        cache.add(spark.createDataFrame([("a", vector), ("c", None)], "t string, v array<double>"), "t", "v")
+    assert [tuple(r) for r in cache.found(texts.distinct(), "t").collect()] == [("a", [1.0, 3.0])]
+
+
+def test_large_clusters_are_split_over_prompts(spark):
+    rows = [(i, "c1" if i < 40 else "c2", f"summary {'ab'[i % 2]}{i % 20}" if i != 7 else None) for i in range(60)]
+    clustered = spark.createDataFrame(rows, "id long, batch_cluster_id string, initial_summary_text string").withColumn("batch_cluster_title", F.lit("t"))
+
+    class ByLetter:
+        """Groups messages by their letter; prompts of other clusters get no answer that holds."""
+
+        def answer(self, prompt):
+            messages = json.loads(prompt.rsplit("\n", 1)[-1])
+            assert len(messages) <= 12 and messages == sorted(messages)
+            groups = {}
+            for i, m in enumerate(messages):
+                groups.setdefault(m[8], []).append(i)
+            return json.dumps({"summaries": [{"text": f"problem {k}", "original_indices": v} for k, v in sorted(groups.items())]})
+
+    out = stages.summarize_clusters(clustered, ByLetter, Settings(split_members=6)).collect()
+    assert len(out) == 60
+    for c in ("c1", "c2"):
+        mine = [r for r in out if (r["id"] < 40) == (c == "c1") and r["id"] != 7]
+        assert {(r["batch_cluster_title"], r["batch_cluster_success"]) for r in mine} == {("problem a", True), ("problem b", True)} and len({r["batch_cluster_id"] for r in mine}) == 2
+    assert next((r["batch_cluster_id"], r["batch_cluster_success"]) for r in out if r["id"] == 7) == ("c1", False)

@@ -14,6 +14,7 @@ from voxtide.config import DEFAULTS, Settings
 from voxtide.operators import routing, segmentation
 from voxtide.plans import stages
 from voxtide.sources import tables
+from voxtide.sources.embedding_cache import EmbeddingCache
 from voxtide.sources.sinks import EpochTable
 from voxtide.streaming.worker import Worker, cadence, file_stream, shaped
 
@@ -39,7 +40,7 @@ class Engine(Worker):
     next ones by the vector of their title."""
 
     def __init__(self, spark: SparkSession, folder: str, resources: Resources, s: Settings = DEFAULTS, clock: Callable[[DataFrame], Column] | None = None) -> None:
-        super().__init__(spark, folder, None, s, clock, resources.embedder)
+        super().__init__(spark, folder, None, s, clock, models.Cached(resources.embedder, EmbeddingCache(spark, f"{folder}/embeddings")))
         self.resources = resources
         self.quarantine = EpochTable(spark, f"{folder}/quarantine", schemas.QUARANTINE)
         self.quarantine.ensure()
@@ -53,7 +54,7 @@ class Engine(Worker):
         if not self.resources.collections:
             return self.spark.createDataFrame([], columns)
         r = self.resources
-        return stages.semantic_search(missed, r.collections, r.embedder, r.reranker, self.settings)
+        return stages.semantic_search(missed, r.collections, self.embedder, r.reranker, self.settings)
 
     def decisions(self, batch: DataFrame, epoch: int) -> DataFrame:
         r, s = self.resources, self.settings
@@ -62,12 +63,12 @@ class Engine(Worker):
             return batch.limit(0)
         good, bad = tables.timed_voices(batch)
         self.quarantine.write(shaped(bad.withColumn("reason", tables.quarantine_reason()), schemas.QUARANTINE), epoch)
-        enriched = stages.route_and_enrich(good, r.rules, r.keywords, self._semantic, r.embedder, r.model, s, r.words, r.stopwords, r.costs)
+        enriched = stages.route_and_enrich(good, r.rules, r.keywords, self._semantic, self.embedder, r.model, s, r.words, r.stopwords, r.costs)
         grouped = stages.summarize_clusters(stages.cluster(enriched, s), r.model, s)
         known, state = self.knowledge.read(before=epoch), self.events.version(before=epoch)
         wrong = r.false_positives if r.false_positives is not None else known.limit(0).select("risk_event_id", "gm_code", "embedding")
         live = state.where("status = 'active'").select("risk_event_id")
-        return stages.match_and_decide(grouped, known.join(live, "risk_event_id", "left_semi"), wrong, state, as_of, r.embedder, stages.decider(r.model), s, r.reranker)
+        return stages.match_and_decide(grouped, known.join(live, "risk_event_id", "left_semi"), wrong, state, as_of, self.embedder, stages.decider(r.model), s, r.reranker)
 
 
 def load(spark: SparkSession, keywords: str, stopwords: str | None = None, words: str | None = None, **services: Callable) -> Resources:

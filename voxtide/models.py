@@ -12,6 +12,7 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.text import prompt
+from voxtide.sources.embedding_cache import EmbeddingCache
 from voxtide.sources.shared import written
 
 
@@ -153,10 +155,20 @@ def attempt(call: Callable[[], object], times: int = 2, pause: float = 0.5) -> t
     return None, error
 
 
-def embedded(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embedder], batch: int = 64, column: str = "embedding") -> DataFrame:
+@dataclass(frozen=True)
+class Cached:
+    """An embedder that asks only for texts that ``cache`` doesn't have; ``embedded`` takes it in place of ``make``."""
+
+    make: Callable[[], Embedder]
+    cache: EmbeddingCache
+
+
+def embedded(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embedder] | Cached, batch: int = 64, column: str = "embedding") -> DataFrame:
     """``df`` with the vector of a text and an error; each distinct text is embedded once, failed batches are null. The result is written:
     however often it is read, nothing is asked again (``df`` itself is read twice, so it asks nothing, or is written)."""
 
+    cache, make = (make.cache, make.make) if isinstance(make, Cached) else (None, make)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = make()
         for frame in frames:
@@ -169,7 +181,15 @@ def embedded(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embed
             yield pd.DataFrame({"_text": frame["_text"], column: vectors, f"{column}_error": errors})
 
     texts = df.select(F.col(text_col).alias("_text")).where("_text IS NOT NULL").distinct()
-    vectors = texts.mapInPandas(run, f"_text string, {column} array<double>, {column}_error string")
+    schema = f"_text string, {column} array<double>, {column}_error string"
+    if cache is None:
+        vectors = texts.mapInPandas(run, schema)
+    else:
+        texts = written(texts, "texts")
+        known = written(cache.found(texts, "_text"), "known-texts")
+        asked = written(texts.join(known, "_text", "left_anti").mapInPandas(run, schema), "asked-texts")
+        cache.add(asked, "_text", column)
+        vectors = asked.unionByName(known.select("_text", F.col("_vector").alias(column), F.lit(None).cast("string").alias(f"{column}_error")))
     return written(df.join(vectors, df[text_col] == F.col("_text"), "left").drop("_text"), "embedded")
 
 
