@@ -117,7 +117,7 @@ def test_stages_end_to_end(spark):
     whole = summarize_clusters(grouped, models.OfflineModel)
     assert {r["id"]: (r["batch_cluster_title"], r["batch_cluster_success"]) for r in whole.collect()}[1] == (titles[0], True)
     large = summarize_clusters(grouped, models.OfflineModel, Settings(split_members=1)).where("id = 1").first()
-    assert (large["batch_cluster_title"], large["batch_cluster_success"]) == (titles[1], True)  # a prompt each
+    assert large["batch_cluster_title"] in titles[:2] and large["batch_cluster_success"]  # over two prompts
     none = summarize_clusters(grouped, models.OfflineModel, Settings(split_members=0)).where("id = 1").first()
     assert (none["batch_cluster_title"], none["batch_cluster_success"], none["batch_cluster_id"]) == ("theredringisbrokenagain", False, ids[0])
 
