@@ -153,3 +153,14 @@ def test_hot_rows_of_little_size(spark, monkeypatch):
     assert len(got) == 900 and got[got["size"] == 16].shard.nunique() == 1
     assert all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
     assert got.groupby("shard")["size"].sum().max() <= 1.05 * got["size"].sum() / 5
+
+
+def test_another_tokenizer_file_goes_through_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    assert not mine.by_chunks and packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_chunks
+    for text in ("Two  Words\n\nand more", "", "Straße 日本 ABC", " x"):
+        assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

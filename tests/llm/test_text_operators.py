@@ -325,13 +325,27 @@ def test_chat_records_that_broke_a_task(spark):
 
 
 def test_chat_layout_of_most_fields():
-    paths = lambda *x: (chat.fingerprint(x), frozenset(x))
+    paths = lambda *x: chat.mark_of(x)
     assert chat.layout_of(*paths("id", "instruction", "input", "output")).parts[0] == ("user", ("instruction", "input"))
     assert chat.layout_of(*paths("id", "instruction", "output", "more")).parts[0] == ("user", ("instruction",))
     assert chat.layout_of(*paths("id", "prompt", "output", "response")).parts[1] == ("assistant", ("response",))  # equal: the first listed
     assert chat.layout_of(*paths("zzz")) is None
 
 
+def test_chat_fingerprint_selects_the_mapping():
+    mark, named = chat.mark_of(["conv_id", "messages[].role", "messages[].content", "extra", "meta.more"])
+    assert named == {"conv_id", "messages[].role", "messages[].content"} and chat.layout_of(mark, frozenset()).turns == "messages"
+    for form, layout in chat.FORMS:
+        assert chat.mappings()[chat.fingerprint(form)] in {x for f, x in chat.FORMS if f <= form}
+        assert chat.layout_of(chat.fingerprint(chat.FORMS[0][0]), form) == chat.LAYOUTS[0]  # the fingerprint alone decides
+        assert set(layout.paths()) & form
+    for i in range(50):  # fields that no layout names leave nothing behind
+        assert chat.layout_of(*chat.mark_of(["conv_id", "messages[].role", f"x{i}"])).role == "role"
+    assert chat._unlisted.cache_info().currsize <= 4096
+    three = chat.mark_of(["conv_id", "id", "messages[].role", "turns[].speaker", "turns[].text", "prompt", "answer", "question"])
+    assert three[0] not in chat.mappings() and chat.layout_of(*three).turns == "turns"
+
+
 def test_chat_turns_are_found_in_the_whole_text(spark):
     rng = random.Random(9)
     bits = [*chat.CONTROLS, "\\", "\n", "\r\n", "user", "<", "[", "é😀", "<|im_end|>\n<|im_start|>assistant\n"]

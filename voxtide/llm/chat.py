@@ -1,8 +1,9 @@
 """Chat formatting: records of many layouts become canonical turns by their schema's fingerprint, and turns become one text
 with reversible escapes and a loss mask.
 
-* ``field_paths`` lists the nested field paths of a schema or of a JSON record; ``fingerprint`` hashes the sorted list. A
-  fingerprint selects one of the declarative mappings ``LAYOUTS``: where the turns are and which fields hold the role and the text.
+* ``field_paths`` lists the nested field paths of a schema or of a JSON record; ``fingerprint`` hashes the sorted list of those that any
+  layout names. A fingerprint is looked up in a table of the declarative mappings ``LAYOUTS``: where the turns are and which fields hold the
+  role and the text. The table has the fingerprints of records of one layout and of two at once; another is resolved once and remembered, 4096 at most.
 * ``canonical`` applies the mapping of a table's schema; ``canonical_json`` that of every JSON record by itself.
 * ``format_turns`` writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside a text or role
   get a backslash after their first character (one more if it has some already), which ``unescape`` takes off; line breaks and
@@ -118,15 +119,47 @@ def _layouts() -> Iterator[Layout]:
 LAYOUTS = list(_layouts())
 
 
+def _forms(x: Layout) -> Iterator[frozenset[str]]:
+    """The sets of field paths that a record of a layout may have: messages may lack their texts, or there may be none."""
+    yield frozenset(x.paths())
+    if x.turns:
+        yield frozenset({x.id, f"{x.turns}[].{x.role}"})
+        yield frozenset({x.id, f"{x.turns}[]"})
+
+
+FORMS = list(dict.fromkeys((form, x) for x in LAYOUTS for form in _forms(x)))
+#: The field paths that any layout names; others aren't fingerprinted.
+NAMED = frozenset(p for form, _ in FORMS for p in form)
+
+
+def _fitting(paths: frozenset[str]) -> Layout | None:
+    """Of the layouts whose fields are there, the one with most fields present; of equals the first listed."""
+    fitting = dict.fromkeys(x for form, x in FORMS if form <= paths)
+    return max(fitting, key=lambda x: (len(paths & set(x.paths())), -LAYOUTS.index(x)), default=None)
+
+
 @functools.cache
-def layout_of(mark: str, paths: frozenset[str]) -> Layout | None:
-    """The layout that a fingerprint selects, of those whose fields are there (``paths``: what was fingerprinted); a message may lack its text."""
+def mappings() -> dict[str, Layout]:
+    """Fingerprint -> layout, for records of one layout and for those that have the fields of two."""
+    both = {a | b for a, _ in FORMS for b, _ in FORMS}
+    return {fingerprint(paths): _fitting(paths) for paths in both}
+
+
+@functools.lru_cache(4096)
+def _unlisted(mark: str, paths: frozenset[str]) -> Layout | None:
+    """The layout of a fingerprint that the table lacks: fields of three layouts and more, or of none."""
+    return _fitting(paths)
+
+
+def mark_of(paths: list[str] | set[str] | frozenset[str]) -> tuple[str, frozenset[str]]:
+    """The fingerprint of the field paths that layouts name, and those paths."""
+    named = NAMED & set(paths)
+    return fingerprint(named), named
 
-    def needed(x: Layout) -> set[str]:
-        return {x.id, f"{x.turns}[].{x.role}"} if x.turns else set(x.paths())
 
-    fitting = [x for x in LAYOUTS if needed(x) <= paths or x.turns and {x.id, f"{x.turns}[]"} <= paths]
-    return max(fitting, key=lambda x: len(paths & set(x.paths())), default=None)  # the first of equals
+def layout_of(mark: str, named: frozenset[str]) -> Layout | None:
+    """The layout that a fingerprint selects from the table; ``named``: what was fingerprinted."""
+    return mappings().get(mark) or _unlisted(mark, named)
 
 
 #: Names that mean a canonical role.
@@ -146,7 +179,7 @@ def _mapped(layout: Layout, record: dict) -> list[tuple[str, str]]:
 def canonical(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table whose schema has a known layout; columns that the layout doesn't name are left out."""
     paths = frozenset(field_paths(df.schema))
-    layout = layout_of(fingerprint(paths), paths)
+    layout = layout_of(*mark_of(paths))
     if layout is None:
         raise ValueError(f"no layout has the field paths {sorted(paths)}")
     conv, empty = F.col(layout.id).cast("long").alias("conv_id"), F.lit("")
@@ -181,9 +214,8 @@ def canonical_json(df: DataFrame, json_col: str) -> DataFrame:
         mark = None
         try:
             record = json.loads(raw or "")
-            paths = frozenset(json_paths(record))
-            mark = fingerprint(paths)
-            layout = layout_of(mark, paths)
+            mark, named = mark_of(json_paths(record))
+            layout = layout_of(mark, named)
             if layout is None:
                 raise ValueError("no layout has this fingerprint")
             yield from [(*turn, mark, None) for turn in turns(record, layout)]

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,12 +44,17 @@ class ChunkTokenizer(dict):
 
     Right for tokenizers whose white space is a boundary that no token crosses and that yields no
     id. A chunk of printable Latin-1 characters is normalised by lower-casing alone, so that its
-    pre-tokens go to the library's model directly; any other chunk goes through the whole library.
+    pre-tokens go to the library's model directly; any other chunk goes through the whole library. That holds for files whose
+    normalizer, pre-tokenizer and kind of model are those below, which is checked at load; texts for any other file go through the library as they are.
     """
 
     #: The pre-tokenizer's pattern, and the code points that byte-level models write as themselves.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     SELF = (*range(33, 127), *range(161, 173), *range(174, 256))
+    #: The steps before the model, as the file states them.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
     def __init__(self, path: str) -> None:
         import regex
@@ -58,6 +64,9 @@ class ChunkTokenizer(dict):
         self.old: dict[bytes, bytes] = {}  # the generation before: what is met again moves over
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        stated = json.loads(self.library.to_str())
+        before = {"type": "Sequence", "pretokenizers": [self.SPLIT, self.BYTES]}
+        self.by_chunks = (stated["normalizer"], stated["pre_tokenizer"], stated["model"]["type"]) == (self.NORMALIZER, before, "BPE")
         self.pieces: dict[str, bytes] = {}
         self.met = bytearray(MET >> 3)
         self.split = regex.compile(self.PATTERN).findall
@@ -102,6 +111,8 @@ class ChunkTokenizer(dict):
         return ids
 
     def ids(self, text: bytes) -> bytes:
+        if not self.by_chunks:
+            return self._library(text)
         return b"".join(map(self.__getitem__, text.split()))  # bytes split at ASCII white space only
 
 
