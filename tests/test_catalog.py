@@ -3,7 +3,10 @@
 import pytest
 from conftest import SF, rows_of
 
-from voxtide.plans import catalog
+from voxtide.plans import catalog, extended
+
+
+assert extended.register is catalog.register  # its queries are in the same table
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
