@@ -458,3 +458,11 @@ def test_html_cases(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
     wide = "<table>" + "<tr><td>" + "w" * 100_000 + "<td>b" + "<tr><td>a<td>b" * 500 + "</table>"
     assert len(html_text.render(wide)) < 200_000
+
+
+def test_html_tables_of_row_spans_stay_small():
+    for page in ("<table>" + "<tr><td rowspan=65534>a" * 43_000, "<table>" + "<tr><td rowspan=300>a<td>b" * 30_000):
+        began = time.perf_counter()
+        text = html_text.render(page)
+        assert len(text) < 2_000_000 and text.count("a") == page.count(">a") and time.perf_counter() - began < 20
+    assert html_text.render("<table><tr><td rowspan=2>a<td>b<td rowspan=3>c<tr><td>d<tr><td>e<td>f<tr><td>g<td>h<td>i</table>") == "a  b  c\n   d\ne  f\ng  h  i"

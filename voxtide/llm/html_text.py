@@ -29,6 +29,8 @@ from voxtide.llm.common import gives_back
 DEPTH = 120
 PAD = 80
 SPAN = 1000
+#: A cell beyond so many columns covers no rows below its own; a table that would need more blanks than this, and than eight times its text, isn't aligned.
+COLUMNS, BLANKS = 256, 1 << 16
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -356,9 +358,13 @@ def _table(table: Element, depth: int) -> list[str]:
 
     rows_of(table, parts["tbody"])
     grid: list[list[tuple[int, int, bool, list[str]]]] = []
-    taken: list[tuple[int, int, int]] = []  # (first column, the one after, rows) that cells above still cover, by column
-    for cells in parts["thead"] + parts["tbody"] + parts["tfoot"]:
+    taken: list[tuple[int, int, int]] = []  # (first column, the one after, row) that cells above cover up to a row, by column
+    expires = 0
+    for number, cells in enumerate(parts["thead"] + parts["tbody"] + parts["tfoot"]):
         row, column, below, past = [], 0, [], 0
+        if taken and number >= expires:
+            taken = [x for x in taken if x[2] > number]
+            expires = min((x[2] for x in taken), default=0)
         for cell in cells:
             if cell.hidden():
                 continue
@@ -367,10 +373,12 @@ def _table(table: Element, depth: int) -> list[str]:
             wide, tall = cell.number("colspan", 1, 1, SPAN), cell.number("rowspan", 1, 1, 65534)
             right = (cell.get("align") or "").lower() == "right" or "text-align:right" in (cell.get("style") or "").replace(" ", "").lower()
             row.append((column, wide, right, lay_out(cell.children, False, depth)))
-            if tall > 1:
-                below.append((column, column + wide, tall))
+            if tall > 1 and column + wide <= COLUMNS:
+                below.append((column, column + wide, number + tall))
             column += wide
-        taken = sorted((a, b, n - 1) for a, b, n in (*taken, *below) if n > 1)
+        if below:
+            taken = sorted([*taken, *below])
+            expires = min(x[2] for x in taken)
         grid.append(row)
     widths: dict[int, int] = {}
     for span_first in (True, False):
@@ -387,12 +395,16 @@ def _table(table: Element, depth: int) -> list[str]:
     for c in used:
         left[c], x = x, x + widths[c] + 2
     out = lay_out(outside, False, depth)
+    text = sum(len(line) for row in grid for *_, lines in row for line in lines)
+    ends = [max((left.get(column, 0) for column, *_ in row), default=0) * max((len(lines) for *_, lines in row), default=0) for row in grid]
+    if sum(ends) > max(BLANKS, 8 * text):  # mostly blanks: two of them part the cells
+        left = {}
     for row in grid:
         for i in range(max((len(lines) for *_, lines in row), default=0)):
             line = ""
             for column, wide, right, lines in row:
                 if i < len(lines) and lines[i]:
-                    own = [c for c in range(column, column + wide) if c in left]
+                    own = [c for c in range(column, column + wide) if c in left] if left else []
                     begin = left[own[0]] if own else len(line) + 2
                     room = left[own[-1]] + widths[own[-1]] - begin if own else 0
                     text = lines[i].rjust(room) if right else lines[i]
