@@ -150,9 +150,13 @@ def clean_and_filter_voices(spark, sf_dir):
     return clean_and_filter(fx.voice_lines(spark, sf_dir), RULES).select("id", "title")
 
 
-@register("SELECT * FROM (VALUES ('The '), ('Is '), ('Apache License'), ('worthless'), ('###'), ('ouaux'), ('tre'), ('nicht'), ('ung'), ('ing'), ('the'), ('tion'), ('th'), ('en')) t(keyword)")
+@register(with_views("voice_lines") + """, k AS (SELECT unnest(['The ', 'Is ', 'Apache License', 'worthless', '###', 'ouaux', 'tre', 'nicht', 'ung', 'ing', 'the', 'tion', 'th', 'en']) AS keyword)
+    SELECT keyword, count(title) AS titles FROM k LEFT JOIN voice_lines ON contains(title, keyword) GROUP BY keyword""")
 def rule_keywords(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in RULES.keywords()])).alias("keyword"))
+    """The keywords of all rules, and how many titles have each: one narrow pass of sums."""
+    words = RULES.keywords()
+    sums = fx.voice_lines(spark, sf_dir).agg(*[F.count_if(F.col("title").contains(w)).alias(f"n{i}") for i, w in enumerate(words)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(w).alias("keyword"), F.col(f"n{i}").alias("titles")) for i, w in enumerate(words)])))
 
 
 @register(with_views("voice_source") + "SELECT id, title FROM voice_source WHERE id % 11 = 0 OR id % 13 = 0")
@@ -208,21 +212,36 @@ def tokenise(spark, sf_dir):
     return _titles(spark, sf_dir).select("id", F.array_join("tokens", " ").alias("words"))
 
 
-@register(f"WITH {_KEYWORDS} SELECT gm_code, goc_product_line, tier, keyword FROM k")
+_PART_CELLS = """SELECT p_brand AS gm_code, p_type AS goc_product_line, CASE WHEN p_partkey % 5 != 0 THEN ' ' || replace(p_name, ' ', ',, ') || '{x}' END AS entity,
+    p_size || '^' || lower(p_type) || ' ^' || upper(p_type) AS action FROM part"""
+_PART_KEYWORDS = f"""d AS ({_PART_CELLS}), k AS (SELECT gm_code, goc_product_line, 1 AS tier, unnest({_CELL.format('entity')}) AS keyword FROM d
+    UNION SELECT gm_code, goc_product_line, 2, unnest({_CELL.format('action')}) FROM d)"""
+
+
+def _cells(spark, sf_dir):
+    """A dictionary of brands and types: cells with blanks, empty entries, each delimiter, words in two cases, and nulls."""
+    kind = F.col("p_type")
+    entity = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(",, ")), F.lit("{x}")))
+    action = F.concat(F.col("p_size").cast("string"), F.lit("^"), F.lower(kind), F.lit(" ^"), F.upper(kind))
+    return fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gm_code"), kind.alias("goc_product_line"), entity.alias("entity"), action.alias("action"))
+
+
+@register(f"WITH {_PART_KEYWORDS} SELECT gm_code, goc_product_line, tier, keyword FROM k")
 def keyword_extract(spark, sf_dir):
-    return routing.keyword_table(_dictionary(spark))
+    return routing.keyword_table(_cells(spark, sf_dir))
 
 
 def _written(df, name, kind):
-    """A source file of a kind, in the shared folder."""
+    """A source of a kind, in the shared folder."""
     folder = worker.work_folder(df.sparkSession, name)
-    getattr(df.coalesce(1).write, kind)(folder, **({"header": True} if kind == "csv" else {}))
+    getattr(df.write, kind)(folder, **({"header": True} if kind == "csv" else {}))
     return folder
 
 
-@register(f"WITH {_KEYWORDS} SELECT gm_code, goc_product_line, tier, keyword FROM k")
+@register(f"WITH {_PART_KEYWORDS} SELECT gm_code, goc_product_line, tier, keyword FROM k")
 def keyword_source(spark, sf_dir):
-    return routing.keyword_table(tables.keyword_dictionary(spark, _written(_dictionary(spark), "keywords.csv", "csv"), "csv"))
+    """``keyword_extract`` over a dictionary that is read from CSV files."""
+    return routing.keyword_table(tables.keyword_dictionary(spark, _written(_cells(spark, sf_dir), "keywords.csv", "csv"), "csv"))
 
 
 @register("SELECT p_partkey AS id, array_to_string(list_slice(list_filter(regexp_extract_all(upper(p_name), '[0-9A-Z一-龥]+'), lambda w: length(w) > 1 AND w NOT IN ('RED', 'HOT', 'PLATE')), 1, 10), ' ') AS words FROM part")
@@ -686,26 +705,57 @@ def json_literals(spark, sf_dir):
 
 # Model answers
 
-SUMMARY_ANSWERS = ['{"summaries":[{"text":" a ","original_indices":[0,1]},{"text":"b","original_indices":[2]}]}', '{"summaries":[{"text":"a","original_indices":[0]}]}', '{"summaries":[]}', "{}", "junk", '{"summaries":[{"text":"","original_indices":[0,1,2]},{"text":"c","original_indices":[0,1,2,9]}]}']
-DECISION_ANSWERS = ['{"decision":"merge","matched_risk_event_id":"E1","reason":"r"}', '{"decision":"merge","matched_risk_event_id":"E9"}', '{"decision":"create_new"}', "junk", '{"decision":"merge"}']
+#: Answers of a language model to a part's name and type, by the part's number: whole, short, empty, without the field, not JSON, and out of range.
+SUMMARY_ANSWERS = [
+    '{"summaries":[{"text":" NAME ","original_indices":[0,1]},{"text":"TYPE","original_indices":[2]}]}', '{"summaries":[{"text":"NAME","original_indices":[0]}]}', '{"summaries":[]}', "{}", "junk NAME",
+    '{"summaries":[{"text":"","original_indices":[0,1,2]},{"text":"TYPE","original_indices":[2,1,0,9,-1]},{"text":"NAME","original_indices":[7]}]}',
+]
+#: Answers to the candidates of an order, by its number: a merge with each of them, with a stranger, with none, a new event, not JSON.
+DECISION_ANSWERS = [
+    '{"decision":"merge","matched_risk_event_id":"E-NEXT","reason":"r"}', '{"decision":"merge","matched_risk_event_id":"E-SELF"}', '{"decision":"merge","matched_risk_event_id":"E9"}', '{"decision":"merge"}', '{"decision":"create_new"}', "junk SELF", '{"decision":"drop"}',
+]
+
+
+def _answer(key, answers, parts):
+    """The answer whose turn it is by a key, with its words filled in."""
+    raw = F.element_at(F.array(*[F.lit(a) for a in answers]), (key % len(answers) + 1).cast("int"))
+    return reduce(lambda text, part: F.replace(text, F.lit(part), parts[part].cast("string")), parts, raw)
 
 
-def _answers(spark, answers):
-    rows = [spark.range(1).select(F.lit(i).alias("id"), F.lit(a).alias("answer")) for i, a in enumerate(answers)]
-    return reduce(DataFrame.unionAll, rows)
+def _answer_sql(key, answers, parts):
+    raw = "[" + ", ".join(f"'{a}'" for a in answers) + f"][{key} % {len(answers)} + 1]"
+    return reduce(lambda text, part: f"replace({text}, '{part}', CAST({parts[part]} AS VARCHAR))", parts, raw)
 
 
-@register("""SELECT * FROM (VALUES (0, 1, 'a:0,1|b:2'), (1, 0, 'fallback:0,1,2'), (2, 0, 'fallback:0,1,2'), (3, 0, 'fallback:0,1,2'), (4, 0, 'fallback:0,1,2'), (5, 1, 'c:0,1,2')) t(id, success, summaries)""")
+@register(f"""WITH a AS (SELECT p_partkey AS id, p_name, 1 + p_size % 4 AS m, {_answer_sql('p_partkey', SUMMARY_ANSWERS, {'NAME': 'p_name', 'TYPE': 'p_type'})} AS answer FROM part),
+    x AS (SELECT id, p_name, m, CASE WHEN json_valid(answer) THEN json_extract(answer, '$.summaries[*]') ELSE [] END AS xs FROM a),
+    y AS (SELECT id, p_name, m, list_filter(list_transform(xs, lambda x: struct_pack(text := trim(x->>'$.text'), own := list_filter(CAST(x->'$.original_indices' AS INT[]), lambda i: i >= 0 AND i < m))),
+        lambda x: x.text != '' AND len(x.own) > 0) AS kept FROM x),
+    z AS (SELECT *, len(list_distinct(flatten(list_transform(kept, lambda x: x.own)))) = m AS good FROM y)
+    SELECT id, good::INT AS success, CASE WHEN good THEN array_to_string(list_transform(kept, lambda x: x.text || ':' || array_to_string(x.own, ',')), '|')
+        ELSE p_name || ':' || array_to_string(range(m), ',') END AS summaries FROM z""")
 def llm_summary_validate(spark, sf_dir):
-    rows = _answers(spark, SUMMARY_ANSWERS).withColumn("v", scoring.valid_summaries(F.col("answer"), F.lit(3), F.lit("fallback")))
+    """Answers about clusters of one to four members; those that leave a member out give one summary of all."""
+    answer = _answer(F.col("p_partkey"), SUMMARY_ANSWERS, {"NAME": F.col("p_name"), "TYPE": F.col("p_type")})
+    v = scoring.valid_summaries(answer, 1 + F.col("p_size") % 4, F.col("p_name"))
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), v.alias("v"))
     flat = F.array_join(F.transform("v.summaries", lambda x: F.concat(x["text"], F.lit(":"), F.array_join(x["original_indices"].cast("array<string>"), ","))), "|")
     return rows.select("id", F.col("v.success").alias("success"), flat.alias("summaries"))
 
 
-@register("""SELECT * FROM (VALUES (0, 'merge', 'E1', 'model'), (1, 'merge', 'E2', 'fallback'), (2, 'create_new', NULL, 'model'), (3, 'merge', 'E2', 'fallback'), (4, 'merge', 'E2', 'fallback')) t(id, decision, matched_risk_event_id, source)""")
+@register(f"""WITH a AS (SELECT o_orderkey AS id, 'E-' || o_orderkey AS self, 'E-' || (o_orderkey + 1) AS next, o_custkey % 10 / 10.0 AS score,
+        {_answer_sql('o_orderkey', DECISION_ANSWERS, {'SELF': 'o_orderkey', 'NEXT': 'o_orderkey + 1'})} AS answer FROM orders),
+    b AS (SELECT *, CASE WHEN json_valid(answer) THEN answer->>'$.decision' END AS d, CASE WHEN json_valid(answer) THEN answer->>'$.matched_risk_event_id' END AS e FROM a),
+    c AS (SELECT *, CASE WHEN d = 'merge' AND (e = self OR e = next) THEN 'merge' WHEN d = 'create_new' THEN 'new' WHEN score >= 0.6 THEN 'top' ELSE 'low' END AS kind FROM b)
+    SELECT id, CASE WHEN kind IN ('merge', 'top') THEN 'merge' ELSE 'create_new' END AS decision, CASE kind WHEN 'merge' THEN e WHEN 'top' THEN self END AS matched_risk_event_id,
+        CASE WHEN kind IN ('merge', 'new') THEN 'model' ELSE 'fallback' END AS source FROM c""")
 def llm_decision_validate(spark, sf_dir):
-    v = scoring.valid_decision(F.col("answer"), F.array(F.lit("E1"), F.lit("E2")), F.lit("E2"), F.lit(0.9))
-    return _answers(spark, DECISION_ANSWERS).withColumn("v", v).select("id", "v.decision", "v.matched_risk_event_id", "v.source")
+    """Answers about orders with two candidates each; what isn't an answer is decided by the score of the first."""
+    key = F.col("o_orderkey")
+    name = lambda k: F.concat(F.lit("E-"), k.cast("string"))
+    answer = _answer(key, DECISION_ANSWERS, {"SELF": key, "NEXT": key + 1})
+    v = scoring.valid_decision(answer, F.array(name(key), name(key + 1)), name(key), F.col("o_custkey") % 10 / 10)
+    return fx.table(spark, sf_dir, "orders").select(key.alias("id"), v.alias("v")).select("id", "v.decision", "v.matched_risk_event_id", "v.source")
 
 
 # Streams
