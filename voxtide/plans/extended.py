@@ -9,9 +9,11 @@ from voxtide import job, models
 from voxtide.config import Settings
 from voxtide.fixtures import with_views
 from voxtide.operators import increments, routing, rule_automaton, segmentation
-from voxtide.plans.catalog import _ALL, _ANY, _CHINESE, _EXCLUDE, _KNN, _PREFIX, _WITHIN, BASE, ORACLES, RULES, WORDS, _checks, _stream, at, register
+from voxtide.plans.catalog import EVENTS, _ALL, _ANY, _CHINESE, _EXCLUDE, _KNN, _PREFIX, _WITHIN, BASE, ORACLES, RULES, WORDS, _checks, _stream, at, register
 from voxtide.sources import vector_index
+from voxtide.sources.cursor_stream import cursor_stream
 from voxtide.sources.shared import work_folder, written
+from voxtide.sources.sinks import EpochTable
 from voxtide.streaming import state
 
 # Words
@@ -117,6 +119,23 @@ def stream_snapshots(spark, sf_dir):
     return state.drained(state.snapshots(_stream(spark, sf_dir), "event_type", "ts"), "snapshots")
 
 
+@register("""SELECT (row_number - 1) // 2000 AS batch, count(*) AS voices, min(event_id) AS first_id, max(event_id) AS last_id, min(ts) AS first_time, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k
+    FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS row_number FROM events) GROUP BY 1""")
+def stream_cursor(spark, sf_dir):
+    """Events by their ids, 2000 a batch, each batch under its epoch."""
+    folder = work_folder(spark, "cursor")
+    batches = EpochTable(spark, f"{folder}/batches", f"batch long, {EVENTS}")
+    batches.ensure()
+    stream = cursor_stream(spark, f"{sf_dir}/events.parquet", EVENTS, f"{folder}/position", 2000, "event_id")
+    query = stream.writeStream.foreachBatch(lambda rows, epoch: batches.write(rows.withColumn("batch", F.lit(epoch).cast("long")), epoch)).option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    k = F.get_json_object("props", "$.k").cast("long")
+    return batches.read().groupBy("batch").agg(F.count("*").alias("voices"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.min("ts").alias("first_time"), F.sum(k).alias("k"))
+
+
 # All stages over two epochs
 
 
