@@ -3,9 +3,11 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -272,6 +274,23 @@ def test_area_resize(shape):
     fine = np.repeat(np.repeat(image.astype(float), to_h, 0), to_w, 1)  # every target area is whole pixels of this
     want = fine.reshape(to_h, h, to_w, w, depth).mean(axis=(1, 3))
     assert np.allclose(media.area_resize(image, to_h, to_w), want)
+    with mock.patch.object(media, "STRIP", 50):
+        assert np.allclose(media.area_resize(image, to_h, to_w), want)
+        if image.shape[2] == 3:
+            mixed = media.area_resize(image, to_h, to_w, media.GREY)
+            assert np.allclose(mixed, media.area_resize((image @ media.GREY)[:, :, None], to_h, to_w)) and np.allclose(mixed[:, :, 0], want @ media.GREY)
+
+
+@pytest.mark.parametrize("size", [(100_000, 64), (64, 100_000), (2530, 2530)])
+def test_large_images_take_little_beside_themselves(size):
+    rng = np.random.default_rng(4)
+    data = b"P6\n%d %d\n255\n" % size + rng.integers(0, 256, 3 * size[0] * size[1], np.uint8).tobytes()
+    tracemalloc.start()
+    image = media.decode(data)
+    tile, dhash = media.npy_tile(image), media.difference_hash(image)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tile) > 64 and len(dhash) == 16 and peak < 16_000_000
 
 
 def test_media_of_broken_bytes(spark):

@@ -29,6 +29,9 @@ from voxtide.llm.common import gives_back, stored
 #: Pixels of a row of a text's image, of three samples each.
 WIDTH = 64
 TILE = 8
+#: Samples of a strip of the integral image.
+STRIP = 1 << 16
+GREY = np.array([0.299, 0.587, 0.114])
 
 
 def as_netpbm(text: Column) -> tuple[Column, Column]:
@@ -138,29 +141,41 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target pixel's exact area: the integral image is read, between its points linearly, at the areas' corners."""
-    integral = np.zeros((image.shape[0] + 1, image.shape[1] + 1, image.shape[2]))
-    np.cumsum(image, axis=0, dtype=np.float64, out=integral[1:, 1:])
-    np.cumsum(integral[1:, 1:], axis=1, out=integral[1:, 1:])
-
-    def at(axis: int, parts: int) -> np.ndarray:
-        nonlocal integral
-        edges = np.linspace(0, image.shape[axis], parts + 1)
-        low = np.minimum(edges.astype(int), image.shape[axis] - 1)
-        share = (edges - low).reshape([-1 if k == axis else 1 for k in range(3)])
-        integral = np.take(integral, low, axis) * (1 - share) + np.take(integral, low + 1, axis) * share
-        integral = np.diff(integral, axis=axis)
-        return integral
-
-    at(0, height)
-    return at(1, width) / (image.shape[0] / height * image.shape[1] / width)
+def _corners(length: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of equal parts of a length: the whole place before each (never the last), and how far past it the edge lies."""
+    edges = np.linspace(0, length, parts + 1)
+    low = np.minimum(edges.astype(int), length - 1)
+    return low, edges - low
+
+
+def area_resize(image: np.ndarray, height: int, width: int, mix: np.ndarray | None = None) -> np.ndarray:
+    """Mean of each target pixel's exact area: the integral image is read, between its points linearly, at the areas' corners.
+
+    Only strips of the integral image are made, as only the lines at the corners are read: beside the image, some ``STRIP`` samples
+    are held, or one line of its shorter side. ``mix`` weighs the samples of a pixel into one.
+    """
+    if image.shape[1] > image.shape[0]:
+        return area_resize(image.transpose(1, 0, 2), width, height, mix).transpose(1, 0, 2)
+    (low, share), (left, rest) = _corners(image.shape[0], height), _corners(image.shape[1], width)
+    share, rest = share[:, None, None], rest[None, :, None]
+    depth = image.shape[2] if mix is None else 1
+    step = max(1, STRIP // (image.shape[1] * image.shape[2]))
+    corners, above = np.zeros((height + 1, width + 1, depth)), np.zeros((width + 1, depth))
+    for top in range(0, image.shape[0], step):
+        strip = image[top : top + step] if mix is None else (image[top : top + step] @ mix)[:, :, None]
+        integral = np.zeros((strip.shape[0] + 1, strip.shape[1] + 1, depth))
+        np.cumsum(strip, axis=0, dtype=np.float64, out=integral[1:, 1:])
+        np.cumsum(integral[1:, 1:], axis=1, out=integral[1:, 1:])
+        lines = above + integral[:, left] * (1 - rest) + integral[:, left + 1] * rest
+        here = np.flatnonzero((low >= top) & (low < top + strip.shape[0]))
+        corners[here] = lines[low[here] - top] * (1 - share[here]) + lines[low[here] - top + 1] * share[here]
+        above = lines[-1]
+    return np.diff(np.diff(corners, axis=0), axis=1) / (image.shape[0] / height * image.shape[1] / width)
 
 
 def difference_hash(image: np.ndarray) -> str:
     """16 hex digits: whether each of 8 x 8 areas is darker than the one on its right."""
-    grey = image @ np.array([0.299, 0.587, 0.114]) if image.shape[2] == 3 else image[:, :, 0]
-    small = area_resize(np.asarray(grey, np.float64)[:, :, None], 8, 9)[:, :, 0]
+    small = area_resize(image[:, :, :1] if image.shape[2] != 3 else image, 8, 9, GREY if image.shape[2] == 3 else None)[:, :, 0]
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -191,14 +206,14 @@ def tiles(media: DataFrame, media_col: str = "media", side: int = TILE) -> DataF
                 raise ValueError("an image without pixels")
         except (ValueError, IndexError, OverflowError, struct.error) as error:
             return *known, *(None,) * 7, str(error)[:200]
-        samples = image.tobytes()
+        samples = np.ascontiguousarray(image).reshape(-1).view(np.uint8)
         return *known, *image.shape[:2], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), difference_hash(image), npy_tile(image, side), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [one(x) for x in batch.column(place).to_pylist()]
+                found = [one(x.as_py()) for x in batch.column(place)]
                 kept = [c for i, c in enumerate(batch.columns) if i != place]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=rest + names)
 
