@@ -49,8 +49,35 @@ def test_long_chain_of_components(spark):
 def test_lsh_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     exact = {(r["a"], r["b"]) for r in vector_search.similarity_pairs(df, 0.7, "label").collect()}
-    found = {(r["a"], r["b"]) for r in vector_search.lsh_pairs(df, 0.7, "label", 64, tables=20, bits=4).collect()}
-    assert found <= exact and len(found) >= 0.9 * len(exact)
+    found = {(r["a"], r["b"]) for r in vector_search.lsh_pairs(df, 0.7, "label", 64, bits=4).collect()}
+    assert found <= exact and len(found) >= 0.95 * len(exact) > 100
+
+
+def test_lsh_by_its_defaults(spark):
+    """One large key of loose clusters: planned tables, nearly all pairs, far fewer candidates than pairs; a small key is compared exactly."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((600, 32))
+    vectors = np.repeat(centres, 5, 0) + 0.3 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)] + [(9000, None, vectors[0].tolist()), (9001, 1, None)], "vec_id long, label int, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    distance = np.round(1 - unit @ unit.T, 6)
+    exact = {(a, b) for a, b in zip(*np.nonzero(distance < 0.15), strict=True) if a < b}
+    tables, bits = vector_search.lsh_plan(0.15, 0.95, 3000)
+    assert vector_search.lsh_plan(0.15, 0.95, 100) is None and vector_search.lsh_plan(0.7, 0.95, 10**6) is None
+    assert vector_search.lsh_candidates(df, "label", 32, tables, bits).count() < 3000 * 2999 / 2 / 20
+    found = {(r["a"], r["b"]) for r in vector_search.lsh_pairs(df, 0.15, "label", 32).collect()}
+    assert found <= exact and len(found) >= 0.95 * len(exact) > 100
+    small = {(r["a"], r["b"]) for r in vector_search.lsh_pairs(df.where("vec_id < 60"), 0.15, "label", 32).collect()}
+    assert small == {(a, b) for a, b in exact if b < 60}
+
+
+def test_sign_buckets(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((50, 8))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>")
+    got = {(r["id"], r["bucket"] >> 5): r["bucket"] & 31 for r in vector_search.sign_buckets(df, "label", 8, 7, 5).collect()}
+    planes = np.random.default_rng(42).standard_normal((7, 5, 8))
+    assert got == {(i, t): sum(int(planes[t, b] @ v > 0) << b for b in range(5)) for i, v in enumerate(vectors) for t in range(7)}
 
 
 def test_route_filters(spark):

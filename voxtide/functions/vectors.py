@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +18,3 @@ def cosine_distance(a: Column, b: Column, norm_a: Column, norm_b: Column, eps: f
     """1 - cosine similarity, clipped to [-1, 1]; 1 if either vector is (nearly) zero."""
     similarity = F.coalesce(dot(a, b) / F.when(norm_a * norm_b >= eps, norm_a * norm_b), F.lit(0.0))
     return F.lit(1.0) - F.least(F.greatest(similarity, F.lit(-1.0)), F.lit(1.0))
-
-
-def sign_hashes(a: Column, dim: int, tables: int = 20, bits: int = 4, seed: int = 42) -> Column:
-    """One bucket label per hash table: the signs of ``bits`` seeded random projections."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
-    def sign(plane: np.ndarray) -> Column:
-        return F.when(dot(a, F.array(*[F.lit(float(x)) for x in plane])) > 0, F.lit("1")).otherwise("0")
-
-    return F.array(*[F.concat(F.lit(f"{t}:"), *[sign(planes[t, b]) for b in range(bits)]) for t in range(tables)])

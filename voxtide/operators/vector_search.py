@@ -7,6 +7,7 @@ tasks as it has pairs of blocks, and a task holds two blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtide.functions.vectors import cosine_distance, norm, sign_hashes
+from voxtide.functions.vectors import cosine_distance, norm
 from voxtide.operators.dedup import top_k
 
 BLOCK = 1024
+#: Dot products of a matrix that one candidate of a bucket costs: it is joined, made distinct, and its vectors are fetched.
+CANDIDATE = 32
+#: Tables of signs at most; beyond that the exact join is taken.
+MOST_TABLES = 512
 #: What a block's distances give: (row, column) places of the hits.
 Chosen = Callable[[np.ndarray, pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -135,15 +140,73 @@ def similarity_pairs(df: DataFrame, threshold: float, on: str, id_col: str = "ve
     return pairs.where("a < b").select("a", "b", F.col("key").alias(on), "distance")
 
 
-def lsh_pairs(df: DataFrame, threshold: float, on: str, dim: int, tables: int = 20, bits: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """As ``similarity_pairs``, over pairs that share a bucket of a seeded sign-projection table: for codes with many vectors.
+def same_side(threshold: float) -> float:
+    """The probability that a random plane has two vectors of that cosine distance on one side; closer ones are likelier to be."""
+    return 1.0 - math.acos(max(-1.0, min(1.0, 1.0 - threshold))) / math.pi
 
-    Only ids are joined in buckets; vectors are fetched for the distinct candidate pairs.
+
+def tables_for(threshold: float, bits: int, recall: float) -> int:
+    """How many tables of that many bits find each pair within the threshold with at least the probability ``recall``."""
+    found = same_side(threshold) ** bits
+    return 1 if found >= recall else math.ceil(math.log(1.0 - recall) / math.log1p(-found))
+
+
+def lsh_plan(threshold: float, recall: float, vectors: int) -> tuple[int, int] | None:
+    """(tables, bits) of the least work for a key of so many vectors; none where comparing all of them is less.
+
+    Work is counted in dot products a vector: one a bit and table, and ``CANDIDATE`` for each vector that is expected in its buckets by chance.
+    """
+    best = None
+    for bits in range(1, 31):
+        tables = tables_for(threshold, bits, recall)
+        if tables <= MOST_TABLES:
+            work = tables * (bits + CANDIDATE * vectors / 2**bits)
+            best = min(best or (work, tables, bits), (work, tables, bits))
+    return best[1:] if best and best[0] < vectors else None
+
+
+def sign_buckets(df: DataFrame, on: str, dim: int, tables: int, bits: int, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
+    """id, key, bucket: of each vector with an id and a key, one bucket a table, by the signs of seeded random projections."""
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
+    rows = df.select(F.col(id_col).alias("id"), F.col(on).alias("key"), as_double(F.col(vector_col)).alias("vec")).where("id IS NOT NULL AND key IS NOT NULL AND vec IS NOT NULL")
+    places = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                signs = (vectors @ planes.T > 0).reshape(batch.num_rows, tables, bits) @ places + (np.arange(tables, dtype=np.int64) << bits)
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, signs.size + 1, tables, dtype=np.int32)), pa.array(signs.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets], names=["id", "key", "buckets"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"id {kinds['id']}, key {kinds['key']}, buckets array<long>").select("id", "key", F.explode("buckets").alias("bucket"))
+
+
+def lsh_candidates(df: DataFrame, on: str, dim: int, tables: int, bits: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """a < b of equal ``on`` that share a bucket of some table, each pair once."""
+    buckets = sign_buckets(df, on, dim, tables, bits, id_col, vector_col)
+    same = F.expr("p.key = q.key AND p.bucket = q.bucket AND p.id < q.id")
+    return buckets.alias("p").join(buckets.alias("q"), same).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.key").alias(on)).distinct()
+
+
+def lsh_pairs(df: DataFrame, threshold: float, on: str, dim: int, recall: float = 0.95, bits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """As ``similarity_pairs``, for keys with many vectors: each pair is found with at least the probability ``recall``.
+
+    Pairs that share a bucket are compared; only ids meet in buckets, vectors are fetched for the distinct candidates. The number of bits is
+    that of the least work for the largest key, unless it is given, and the number of tables follows from it and the recall. Where the
+    exact join is less work (small keys, wide thresholds), it is used.
     """
-    rows = prepared(df, id_col, vector_col, "x", [on])
-    buckets = rows.select("x_id", F.col(f"x_{on}").alias(on), F.explode(sign_hashes(F.col("x_vec"), dim, tables, bits)).alias("bucket"))
-    same = F.expr(f"p.`{on}` = q.`{on}` AND p.bucket = q.bucket AND p.x_id < q.x_id")
-    pairs = buckets.alias("p").join(buckets.alias("q"), same).select(F.col("p.x_id").alias("a"), F.col("q.x_id").alias("b"), F.col(f"p.{on}").alias(on)).distinct()
+    if bits is None:
+        largest = df.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+        if (plan := lsh_plan(threshold, recall, largest)) is None:
+            return similarity_pairs(df, threshold, on, id_col, vector_col)
+        tables, bits = plan
+    else:
+        tables = tables_for(threshold, bits, recall)
+    rows = prepared(df, id_col, vector_col, "x")
+    pairs = lsh_candidates(df, on, dim, tables, bits, id_col, vector_col)
     for side in ("a", "b"):
         pairs = pairs.join(rows.select(F.col("x_id").alias(side), F.col("x_vec").alias(f"{side}_vec"), F.col("x_norm").alias(f"{side}_norm")), side)
     distance = cosine_distance(F.col("a_vec"), F.col("b_vec"), F.col("a_norm"), F.col("b_norm"))

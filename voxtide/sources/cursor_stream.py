@@ -4,6 +4,8 @@ A batch's tasks are the row groups whose statistics meet its range of ids; the i
 the groups that begin before it does. Footers are read once, groups that lie behind the cursor are forgotten. So a batch costs one listing and
 the groups that it meets: one or two of a table that is written in the order of its ids, all those ahead of the cursor if ids are scattered.
 
+Footers and groups are read through ``pyarrow.fs``: the table and the cursor lie where it reaches (a mounted folder, S3, GCS, or HDFS with its client).
+
 The end of the last planned batch is kept in the file ``cursor``, as a reader that starts anew isn't told it; one file belongs to one
 checkpoint. Spark plans a batch that did not end once more before it asks for the next, so the file is never ahead of the checkpoint.
 
