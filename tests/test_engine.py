@@ -80,6 +80,28 @@ def test_sign_buckets(spark):
     assert got == {(i, t): sum(int(planes[t, b] @ v > 0) << b for b in range(5)) for i, v in enumerate(vectors) for t in range(7)}
 
 
+@pytest.mark.parametrize("bits, tables", [(2, 5), (5, 6)])
+def test_pairs_of_buckets_are_decided_where_they_meet(spark, monkeypatch, bits, tables):
+    """Over keys of several blocks: each pair once, those that share a bucket and no others; candidates are neither shuffled nor made distinct."""
+    monkeypatch.setattr(vector_search, "tables_for", lambda *_: tables)
+    monkeypatch.setattr(vector_search.over_blocks, "__defaults__", (16, 16, None))
+    rng = np.random.default_rng(8)
+    rows = [(i, "A" if i % 4 else "B", (rng.standard_normal(8) if i % 40 else np.zeros(8)).tolist() if i % 61 else None) for i in range(260)]
+    df = spark.createDataFrame([*rows, (999, None, [1.0] * 8)], "id long, k string, v array<float>")
+    buckets: dict = {}
+    for r in vector_search.sign_buckets(df, "k", 8, tables, bits, "id", "v").collect():
+        buckets.setdefault((r["key"], r["bucket"]), []).append(r["id"])
+    shared = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    unit = {i: np.float32(v) / max(np.linalg.norm(np.float32(v)), 1e-9) for i, _, v in rows if v}
+    got = vector_search.lsh_candidates(df, "k", 8, tables, bits, "id", "v").collect()
+    assert len(got) == len(shared) and {(r["a"], r["b"]) for r in got} == shared
+    assert vector_search.lsh_tried(df, "k", 8, tables, bits, "id", "v").first()[0] == len(shared)
+    found = vector_search.lsh_pairs(df, 0.6, "k", 8, bits=bits, id_col="id", vector_col="v")
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert not any(x in above for x in ("Join", "Aggregate", "Sort"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a, b in shared if 1 - float(unit[a] @ unit[b]) < 0.6}
+
+
 def test_route_filters(spark):
     df = spark.createDataFrame([(1, [("A",)]), (2, [("A",), ("B",)])], "id long, routes array<struct<gm_code:string>>")
     assert routing.filter_routes(df).count() == 2
