@@ -87,6 +87,26 @@ def test_index_is_exact_and_probing_proves(spark, tmp_path):
     assert vector_index.search(asked, vector_index.build(base.limit(0), str(tmp_path / "none")), 5).count() == 0
 
 
+def test_a_query_travels_once_a_shelf(spark, tmp_path, monkeypatch):
+    """Not once for each list that it needs; with shelves of 60 vectors, still the exact result."""
+    kinds = "vec_id long, gm_code string, embedding array<double>"
+    base, asked = spark.createDataFrame(vectors(900, 3, 5, 3.0), kinds), spark.createDataFrame(vectors(130, 3, 6, 3.0), kinds)
+    sent, join = [], vector_index.over_blocks
+
+    def counted(left, *rest, **more):
+        sent.append(left.count())
+        return join(left, *rest, **more)
+
+    monkeypatch.setattr(vector_index, "over_blocks", counted)
+    want = {(r["query_id"], r["rank"]): (r["hit_id"], r["distance"]) for r in vector_search.knn(asked, base, 5, "gm_code").collect()}
+    for shelf, most in ((10_000, 130), (60, 130 * 6)):
+        sent.clear()
+        monkeypatch.setattr(vector_index, "SHELF", shelf)
+        index = vector_index.build(base, str(tmp_path / f"index{shelf}"), lists=30)
+        got = {(r["query_id"], r["rank"]): (r["hit_id"], r["distance"]) for r in vector_index.search(asked, index, 5, probes=2).collect()}
+        assert got == want and len(sent) == 2 and all(n <= most for n in sent)
+
+
 def test_recall_of_probing(spark):
     real = {(r["query_id"], r["hit_id"]) for r in catalog.QUERIES["knn_topk"](spark, SF).collect()}
     found = {(r["query_id"], r["hit_id"]) for r in extended.knn_probed(spark, SF).collect()}
