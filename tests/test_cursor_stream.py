@@ -72,3 +72,38 @@ def test_a_batch_reads_the_groups_of_its_range(spark, tmp_path):
     assert reader.latestOffset() == {"id": 299} and len(reader.partitions({"id": 149}, {"id": 299})) == 2 and sum(map(len, reader.footers.values())) == 9
     again = CursorReader({"path": f"file://{path}", "cursor": f"file://{tmp_path}/cursor", "rows": "10"}, None)
     assert again.latestOffset() == {"id": 309}
+
+
+def test_many_batches_of_one_run_are_those_of_many_runs(spark):
+    """With ties at their ends, a broken run and rows that come later; in far fewer runs."""
+    folder = work_folder(spark, "cursor-test")
+    ids = [*range(0, 60), *[30] * 40, *range(60, 300), None]
+    spark.createDataFrame([(i, "") for i in ids], SCHEMA).repartition(5, F.rand(3)).write.parquet(f"{folder}/voices")
+    path, plain, runs = f"{folder}/voices", drain(spark, f"{folder}/voices", f"{folder}/plain", 25), []
+
+    def drained(fail_at=None):
+        seen: dict[int, list[int]] = {}
+
+        def take(rows, epoch):
+            runs.append(epoch)
+            if epoch == fail_at:
+                raise RuntimeError("lost")
+            for r in rows.collect():
+                seen.setdefault(r["batch"], []).append(r["id"])
+
+        stream = cursor_stream(spark, path, SCHEMA, f"{folder}/cursor", 25, ahead=4)
+        query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        except Exception:
+            assert fail_at is not None
+        finally:
+            query.stop()
+        return {b: sorted(x) for b, x in seen.items()}
+
+    got = drained(fail_at=1)
+    got |= drained()
+    assert got == plain and len(plain) > 10 and len(set(runs)) <= 5
+    titled(spark.range(400, 430)).select("id", "title").write.mode("append").parquet(path)
+    last = max(got)
+    assert drained() == {last + 1: list(range(400, 425)), last + 2: list(range(425, 430))}
