@@ -81,6 +81,20 @@ def test_each_text_is_asked_once_and_no_voice_is_lost(setting):
     assert Counter(k.split()[0] for k in seen) == {"prompt": 6, "embed": 12, "rerank": 6}  # 6 titles and 6 summaries
 
 
+def test_titles_meet_their_voices_once(setting, monkeypatch):
+    log, voices, keywords, semantic = setting
+    copies = voices.crossJoin(voices.sparkSession.range(5).select(F.col("id").alias("copy"))).withColumn("id", F.col("id") * 5 + F.col("copy")).drop("copy")
+    seen, summarized, embedded = [], models.summarized, models.embedded
+    monkeypatch.setattr(models, "summarized", lambda df, *a, **k: (seen.append(df.count()), summarized(df, *a, **k))[1])
+    monkeypatch.setattr(models, "embedded", lambda df, *a, **k: (seen.append(df.count()), embedded(df, *a, **k))[1])
+    out = stages.route_and_enrich(copies, stages.Rules(), keywords, semantic, lambda: CountingEmbedder(log), lambda: VaryingModel(log), Settings(route_score=0.0))
+    rows = out.collect()
+    assert len(rows) == 30 == len({r["initial_summary_id"] for r in rows}) and len({r["initial_summary_text"] for r in rows}) == 6
+    assert seen == [6, 6, 6]  # titles, not voices: to be searched for, summarized, embedded
+    grouped = stages.cluster(out)
+    assert grouped.count() == 30 and "initial_summary_embedding" not in grouped.columns
+
+
 def test_hybrid_route_asks_once(setting):
     log, voices, keywords, semantic = setting
     titles = voices.withColumnRenamed("title", "t").selectExpr("t AS id", "t AS title", "split(upper(t), ' ') AS tokens")
