@@ -300,3 +300,21 @@ def test_scores_pass_64_bits(spark):
 def test_queries_against_sql(spark, duck, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLES[name]).df()
     assert rows_of(got) == rows_of(want) and len(got)
+
+
+def test_short_batches_of_pieces_are_counted_together(monkeypatch):
+    pieces = [("en" if i % 3 else "de", f"the {'cat dog hen'.split()[i % 3]} sat down", i + 1) for i in range(300)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces, strict=True)], names=["lang", "piece", "m"])
+    cut, blocks = [], phrases.text_blocks
+    monkeypatch.setattr(phrases, "text_blocks", lambda column: (cut.append(len(column)), blocks(column))[1])
+
+    def counted(batches, k):
+        out = [pa.ipc.open_stream(block.as_buffer()).read_all() for b in phrases.phrase_blocks(k, np.full(64, -1), 4)(iter(batches)) for block in b.column(1)]
+        return sorted((r["lang"], r["gram"], r["m"]) for t in out for r in t.to_pylist())
+
+    for k in (1, 2, 3):
+        expected = counted([whole], k)
+        cut.clear()
+        assert counted([whole.slice(i, 1) for i in range(300)], k) == expected and expected
+        assert cut == [300]  # not 300 times a piece
+    assert ("en", "the dog sat", sum(range(2, 301, 3))) in expected and counted([], 1) == []

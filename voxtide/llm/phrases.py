@@ -42,6 +42,8 @@ STOPS, BLANKS = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 IN_PIECE, IN_WORD = lookup(*STOPS), lookup(*STOPS, *BLANKS)
 #: What DuckDB may hold of a bucket in memory, and the bytes of phrases that a task gathers before it deals them out.
 MEMORY, GATHERED = "192MB", 1 << 23
+#: Bytes of pieces that are cut into phrases together.
+TOGETHER = 1 << 20
 #: Exact: of 36 and 38 digits.
 SCORE = "(1000BD * CAST(a AS DECIMAL(16,0)) * CAST(n AS DECIMAL(16,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("m", pa.int64())])
@@ -124,19 +126,32 @@ def _frequent(seen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return seen[np.mod(signed, len(seen))] & bits == bits
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``size`` bytes but for the last: pieces are short, and a batch of few of them costs more in calls than in work."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def phrase_blocks(k: int, seen: np.ndarray | None, buckets: int):
     """Over (lang, piece, m): phrases of ``k`` words whose two parts of k - 1 are ``seen``, dealt over buckets. For single words also '', the number of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Gathered(buckets)
-        for batch in batches:
-            names: dict[str, int] = {}
-            lang = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
-            langs, seeds, many = pa.array(list(names), pa.string()), lang_seeds(list(names)), batch.column(2).to_numpy()
+        for batch in joined(batches):
+            encoded = batch.column(0).dictionary_encode()
+            lang, names = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+            langs, seeds, many = encoded.dictionary, lang_seeds(names), batch.column(2).to_numpy()
             for block in text_blocks(batch.column(1)):
                 starts, ends = runs(IN_WORD[block.raw], block.bounds)
                 raw = padded(block.raw)
-                piece = np.searchsorted(block.bounds, starts, "right") - 1
+                piece = np.repeat(np.arange(len(block)), np.diff(np.searchsorted(starts, block.bounds)))
                 of = lang[block.first + piece]
                 if k == 1:
                     begin, stop = starts, ends
