@@ -190,3 +190,14 @@ def test_silent_events_have_snapshots_until_they_are_forgotten(spark, tmp_path):
     assert by_end[start + timedelta(minutes=10)] == (2, 2) and by_end[start + timedelta(minutes=20)] == (2, 0)
     assert len(by_end) == len(got) and max(by_end) <= start + timedelta(hours=9) - timedelta(minutes=10)
     assert by_end[start + timedelta(hours=8)] == (3, 1) and by_end[start + timedelta(hours=8, minutes=50)] == (3, 0)
+
+
+def test_prefix_sums_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(increments, "ROWS", 50)
+    rows = [(i, f"E{i % 40}", datetime(2024, 1, 1) + timedelta(minutes=7 * i)) for i in range(1000)]
+    voices = spark.createDataFrame(rows, "voice_id long, risk_event_id string, voice_date timestamp_ntz")
+    first = increments.extended(None, voices.where("voice_id < 600"))
+    whole = increments.extended(first, voices.where("voice_id >= 600"))
+    assert first.rdd.getNumPartitions() >= 600 // 50 and whole.rdd.getNumPartitions() >= 1000 // 50  # tasks grow with the rows, so a task doesn't
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, increments.extended(None, voices).collect()))
+    assert sum(r["n"] for r in whole.collect()) == 1000 == sum(r["u"] for r in whole.groupBy("risk_event_id").agg(F.max("upto").alias("u")).collect())
