@@ -185,3 +185,14 @@ def test_large_clusters_are_split_over_prompts(spark):
         mine = [r for r in out if (r["id"] < 40) == (c == "c1") and r["id"] != 7]
         assert {(r["batch_cluster_title"], r["batch_cluster_success"]) for r in mine} == {("problem a", True), ("problem b", True)} and len({r["batch_cluster_id"] for r in mine}) == 2
     assert next((r["batch_cluster_id"], r["batch_cluster_success"]) for r in out if r["id"] == 7) == ("c1", False)
+
+
+def test_a_batch_is_reduced_once(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stages, "written", lambda df, name="table": (seen.append(name), written(df, name))[1])
+    keywords = routing.keyword_table(spark.createDataFrame([("G1", "line", "payment", None)], "gm_code string, goc_product_line string, entity string, action string"))
+    engine = job.Engine(spark, str(tmp_path / "engine"), job.Resources(keywords))
+    rows = [(i, f"v{i // 2}", "payment number one failed again", "2024-01-01T00:00:00") for i in range(6)]
+    engine.process(spark.createDataFrame(rows, "id long, voice_id string, title string, t string").withColumn("gmt_create", F.col("t").cast("timestamp_ntz")).drop("t"), 0)
+    assert engine.mapping.read().count() == 3 and [r["risk_event_volume"] for r in engine.events.version().collect()] == [3]
+    assert {n: seen.count(n) for n in ("kept", "routes", "parts", "final", "voices", "deltas", "judged")} == dict.fromkeys(("kept", "routes", "parts", "final", "voices", "deltas", "judged"), 1)
