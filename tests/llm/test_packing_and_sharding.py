@@ -164,3 +164,31 @@ def test_another_tokenizer_file_goes_through_the_library():
     assert not mine.by_chunks and packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_chunks
     for text in ("Two  Words\n\nand more", "", "Straße 日本 ABC", " x"):
         assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_what_a_worker_remembers_is_bounded_and_asked_once(monkeypatch):
+    """Chunks of any kind, met again and again: at most two generations of pieces are held, and what stands in texts that are cut together is asked once."""
+    monkeypatch.setattr(packing, "MEMO", 100)
+    own, asked = packing.ChunkTokenizer(tokenizer_path()), []
+    words = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(700)]
+    for _ in range(3):
+        own.ids(" ".join(words).encode())
+    held = len(own) + sum(len(x) for x in vars(own).values() if isinstance(x, dict) and any(isinstance(y, bytes) for y in x.values()))
+    assert held <= 200
+    library = own._library
+    monkeypatch.setattr(own, "_library", lambda text: asked.append(text) or library(text))
+    long = "日本語" * 40
+    assert own.ids(f"{long} a {long}\t{long}".encode()) == library(f"{long} a {long} {long}")
+    assert len(asked) == 1
+
+
+def test_texts_that_are_cut_together(spark, monkeypatch):
+    """Where texts are cut from one another changes nothing: empty ones, blanks, several in a slice, odd chunks between others."""
+    rng = random.Random(3)
+    texts = ["", None, " \t", "x", *[" ".join(rng.choices(["one", "Two,", "3.14", "über", "日本", "<|endoftext|>", "it's", "", "\x1c", "end.\n"], k=rng.randint(0, 40))) for _ in range(300)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    library = packing.ChunkTokenizer(tokenizer_path()).library
+    for together in (1, 700, 1 << 20):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        got = {r["doc_id"]: r["ids"] for r in packing.tokenize(docs, tokenizer_path(), with_ids=True).collect()}
+        assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}

@@ -20,27 +20,30 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
 from voxtide.llm.common import gives_back, local_table, salted_rank, stored
 
-#: Distinct strings that a worker remembers the ids of (some 200 bytes each): pieces, and chunks in each of two generations.
-MEMO = 200_000
-#: Bits by which a worker knows a chunk that it has met before: most are met once, and only the others are remembered.
-MET = 1 << 23
+#: Distinct pieces that a worker remembers the ids of (some 230 bytes each), in each of two generations.
+MEMO = 100_000
+#: Longest piece that is remembered, and bytes of text that are cut together; a longer text is cut alone.
+SHORT, TOGETHER = 64, 2 << 20
 
 
 class ChunkTokenizer(dict):
-    """Ids of whole texts, looked up by white-space-separated chunk: chunk -> little-endian 32-bit ids.
+    """Ids of whole texts by their distinct white-space-separated chunks: piece -> little-endian 32-bit ids.
 
     Right for tokenizers whose white space is a boundary that no token crosses and that yields no
     id. A chunk of printable Latin-1 characters is normalised by lower-casing alone, so that its
@@ -55,65 +58,90 @@ class ChunkTokenizer(dict):
     NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
     SPLIT = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
     BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    #: What keeps a chunk from the short way: a character that isn't printable Latin-1, or the mark of a special token.
+    ODD = re.compile(r"[^\x20-\x7e\xa1-\xac\xae-\xff]|<\|")
+    #: Stands behind each chunk among its ids; no id is as large.
+    MARK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.old: dict[bytes, bytes] = {}  # the generation before: what is met again moves over
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         stated = json.loads(self.library.to_str())
         before = {"type": "Sequence", "pretokenizers": [self.SPLIT, self.BYTES]}
         self.by_chunks = (stated["normalizer"], stated["pre_tokenizer"], stated["model"]["type"]) == (self.NORMALIZER, before, "BPE")
-        self.pieces: dict[str, bytes] = {}
-        self.met = bytearray(MET >> 3)
-        self.split = regex.compile(self.PATTERN).findall
+        self.split = regex.compile(self.PATTERN + "| ").findall
         others = [b for b in range(256) if b not in self.SELF]
         self.letters = {b: chr(b) for b in self.SELF} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.forget()
 
     def forget(self) -> None:
+        self.old: dict[str, bytes] = {}  # the generation before: what is met again moves over
         self.clear()
-        self.old = {}
-        self.pieces = {}
-        self.met = bytearray(MET >> 3)
+        self[" "] = self.MARK
 
-    def _library(self, chunk: bytes) -> bytes:
-        return np.array(self.library.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = struct.pack(f"<{len(t := self.model.tokenize(word))}I", *[x.id for x in t])
-        return ids
-
-    def __missing__(self, chunk: bytes) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
-        if len(self.pieces) >= 3 * MEMO // 2:
-            self.pieces = {}
-        if (ids := self.old.get(chunk)) is not None:
-            self[chunk] = ids
-            return ids
-        text = chunk.decode("utf-8", "replace")
-        if text.isprintable() and max(text) <= "\xff" and "<|" not in text:
-            ids = b"".join([self._piece(x) for x in self.split(text.lower())])
-        else:
-            ids = self._library(chunk)
-        if len(chunk) <= 64:
-            bit = hash(chunk) & (MET - 1)
-            if self.met[bit >> 3] >> (bit & 7) & 1:
-                self[chunk] = ids
+            self[" "] = self.MARK
+        if (ids := self.old.get(piece)) is None:
+            if self.ODD.search(piece):
+                ids = self._library(piece)
             else:
-                self.met[bit >> 3] |= 1 << (bit & 7)
+                word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                ids = struct.pack(f"<{len(t := self.model.tokenize(word))}I", *[x.id for x in t])
+        if len(piece) <= SHORT:
+            self[piece] = ids
         return ids
 
-    def ids(self, text: bytes) -> bytes:
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and where each chunk's begin and end among them."""
+        whole = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+        text = pc.binary_join(whole, pa.scalar(" ", chunks.type))[0].as_buffer().to_pybytes().decode("utf-8", "replace")
+        lone: dict[int, bytes] = {}
+        if self.ODD.search(text):
+            parts = text.split(" ")
+            lone = {i: self[x] for i, x in enumerate(parts) if self.ODD.search(x)}
+            for i in lone:
+                parts[i] = ""
+            text = " ".join(parts)
+        found = b"".join(map(self.__getitem__, self.split(f"{text} ".lower())))
+        ids = np.frombuffer(b"".join([found, *lone.values()]), "<u4")
+        ends = np.flatnonzero(ids[: len(found) // 4] == 0xFFFFFFFF)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        if lone:
+            at = np.fromiter(lone, np.int64)
+            ends[at] = len(found) // 4 + np.cumsum([len(x) // 4 for x in lone.values()])
+            begins[at] = ends[at] - [len(x) // 4 for x in lone.values()]
+        return ids, begins, ends
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, none null) one after the other, and where each text's begin, with their end."""
         if not self.by_chunks:
-            return self._library(text)
-        return b"".join(map(self.__getitem__, text.split()))  # bytes split at ASCII white space only
+            each = [self._library(x.decode("utf-8", "replace")) for x in texts.view(pa.binary()).to_pylist()]
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *[len(x) // 4 for x in each]])
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        ids, begins, ends = self._chunks(coded.dictionary)
+        which = coded.indices.to_numpy()
+        sizes = (ends - begins)[which]
+        until = np.cumsum(sizes)
+        at = np.repeat(begins[which] - (until - sizes), sizes)
+        at += np.arange(len(at))
+        offsets = parts.offsets.to_numpy()
+        return ids[at], np.concatenate([[0], until])[offsets - offsets[0]]
+
+    def ids(self, text: bytes) -> bytes:
+        return self.flat(pa.array([text], pa.binary()).view(pa.string()))[0].tobytes()
 
 
 @functools.cache
@@ -125,7 +153,6 @@ def tokenizer(path: str) -> ChunkTokenizer:
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 [, ids]. ``path``: the tokenizer's file, on every machine."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
-    end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -134,14 +161,18 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder = tokenizer(path)
         encoder.forget()  # what other tasks have left: the memory is for one task at a time
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            texts = pc.fill_null(whole.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
+            for at, until in itertools.pairwise(cuts):
+                ids, begins = encoder.flat(texts.slice(at, until - at))
+                ids = np.insert(ids, begins[1:], end_id)
+                begins = (begins + np.arange(len(begins))).tolist()
                 rows: list[list] = [[] for _ in schema]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    ids = encoder.ids(text or b"") + end
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        values = [doc, piece, start, len(own) // 4, zlib.crc32(own)] + [np.frombuffer(own, "<u4").astype("i8")] * with_ids
+                for doc, (begin, end) in zip(whole.column(0).slice(at, until - at).to_pylist(), itertools.pairwise(begins), strict=True):
+                    for piece, start in enumerate(range(0, end - begin, capacity)):
+                        own = ids[begin + start : min(begin + start + capacity, end)]
+                        values = [doc, piece, start, len(own), zlib.crc32(own)] + [own.astype("i8")] * with_ids
                         for column, value in zip(rows, values, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
