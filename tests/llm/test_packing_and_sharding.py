@@ -192,3 +192,18 @@ def test_texts_that_are_cut_together(spark, monkeypatch):
         monkeypatch.setattr(packing, "TOGETHER", together)
         got = {r["doc_id"]: r["ids"] for r in packing.tokenize(docs, tokenizer_path(), with_ids=True).collect()}
         assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_an_idle_worker_holds_no_tokenizer(spark):
+    """The tokenizer goes with its task: workers are used again by stages that need the memory."""
+
+    def left(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "ChunkTokenizer" for x in gc.get_objects())]})
+
+    packing.tokenize(documents(spark).repartition(8), tokenizer_path()).collect()
+    assert {r["n"] for r in spark.range(1000).repartition(8).mapInArrow(left, "n long").collect()} == {0}

@@ -39,7 +39,7 @@ from voxtide.llm.common import gives_back, local_table, salted_rank, stored
 #: Distinct pieces that a worker remembers the ids of (some 230 bytes each), in each of two generations.
 MEMO = 100_000
 #: Longest piece that is remembered, and bytes of text that are cut together; a longer text is cut alone.
-SHORT, TOGETHER = 64, 2 << 20
+SHORT, TOGETHER = 64, 1 << 20
 
 
 class ChunkTokenizer(dict):
@@ -70,17 +70,11 @@ class ChunkTokenizer(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        stated = json.loads(self.library.to_str())
-        before = {"type": "Sequence", "pretokenizers": [self.SPLIT, self.BYTES]}
-        self.by_chunks = (stated["normalizer"], stated["pre_tokenizer"], stated["model"]["type"]) == (self.NORMALIZER, before, "BPE")
+        self.by_chunks = by_chunks(path)
         self.split = regex.compile(self.PATTERN + "| ").findall
         others = [b for b in range(256) if b not in self.SELF]
         self.letters = {b: chr(b) for b in self.SELF} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.forget()
-
-    def forget(self) -> None:
         self.old: dict[str, bytes] = {}  # the generation before: what is met again moves over
-        self.clear()
         self[" "] = self.MARK
 
     def _library(self, text: str) -> bytes:
@@ -145,9 +139,12 @@ class ChunkTokenizer(dict):
 
 
 @functools.cache
-def tokenizer(path: str) -> ChunkTokenizer:
-    """A worker's tokenizer, loaded once."""
-    return ChunkTokenizer(path)
+def by_chunks(path: str) -> bool:
+    """Whether a tokenizer file states the steps that a ``ChunkTokenizer`` takes; read once a worker."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    before = {"type": "Sequence", "pretokenizers": [ChunkTokenizer.SPLIT, ChunkTokenizer.BYTES]}
+    return (stated["normalizer"], stated["pre_tokenizer"], stated["model"]["type"]) == (ChunkTokenizer.NORMALIZER, before, "BPE")
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -158,8 +155,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = tokenizer(path)
-        encoder.forget()  # what other tasks have left: the memory is for one task at a time
+        encoder = ChunkTokenizer(path)  # for one task: some 50 MB that an idle worker would keep
         for whole in batches:
             texts = pc.fill_null(whole.column(1), "")
             ends = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
@@ -176,7 +172,6 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         for column, value in zip(rows, values, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
-        encoder.forget()
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(gives_back(pieces), out)
