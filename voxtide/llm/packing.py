@@ -39,7 +39,7 @@ from voxtide.llm.common import gives_back, local_table, salted_rank, stored
 #: Distinct pieces that a worker remembers the ids of (some 230 bytes each), in each of two generations.
 MEMO = 100_000
 #: Longest piece that is remembered, and bytes of text that are cut together; a longer text is cut alone.
-SHORT, TOGETHER = 64, 1 << 20
+SHORT, TOGETHER = 64, 2 << 20
 
 
 class ChunkTokenizer(dict):
@@ -147,8 +147,8 @@ def by_chunks(path: str) -> bool:
     return (stated["normalizer"], stated["pre_tokenizer"], stated["model"]["type"]) == (ChunkTokenizer.NORMALIZER, before, "BPE")
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 [, ids]. ``path``: the tokenizer's file, on every machine."""
+def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, together: int | None = None) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32 [, ids]. ``path``: the tokenizer's file, on every machine; ``together``: less than ``TOGETHER`` takes less memory and more time."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder = ChunkTokenizer(path)  # for one task: some 50 MB that an idle worker would keep
         for whole in batches:
             texts = pc.fill_null(whole.column(1), "")
-            ends = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+            ends = np.cumsum(pc.binary_length(texts).to_numpy()) // (together or TOGETHER)
             cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
             for at, until in itertools.pairwise(cuts):
                 ids, begins = encoder.flat(texts.slice(at, until - at))
@@ -278,6 +278,6 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, together: int | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(stored(tokenize(docs, path, id_col, text_col, capacity, end_id), "pieces"), capacity)
+    return place(stored(tokenize(docs, path, id_col, text_col, capacity, end_id, together=together), "pieces"), capacity)
