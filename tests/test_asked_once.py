@@ -196,3 +196,14 @@ def test_a_batch_is_reduced_once(spark, tmp_path, monkeypatch):
     engine.process(spark.createDataFrame(rows, "id long, voice_id string, title string, t string").withColumn("gmt_create", F.col("t").cast("timestamp_ntz")).drop("t"), 0)
     assert engine.mapping.read().count() == 3 and [r["risk_event_volume"] for r in engine.events.version().collect()] == [3]
     assert {n: seen.count(n) for n in ("kept", "routes", "parts", "final", "voices", "deltas", "judged")} == dict.fromkeys(("kept", "routes", "parts", "final", "voices", "deltas", "judged"), 1)
+
+
+def test_only_what_is_counted_is_written_by_voice(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(stages, "written", lambda df, name="table": (made.append((name, t := written(df, name), t.count())), t)[1])
+    keywords = routing.keyword_table(spark.createDataFrame([("G1", "line", "payment", None)], "gm_code string, goc_product_line string, entity string, action string"))
+    engine = job.Engine(spark, str(tmp_path / "engine"), job.Resources(keywords))
+    rows = [(i, f"v{i}", f"payment number {'abc'[i % 3]} failed again", "2024-01-01T00:00:00") for i in range(30)]
+    engine.process(spark.createDataFrame(rows, "id long, voice_id string, title string, t string").withColumn("gmt_create", F.col("t").cast("timestamp_ntz")).drop("t"), 0)
+    assert {name for name, _, n in made if n > 3} == {"kept", "voices"}  # the others have a row of each title or fewer
+    assert engine.decided.epoch(0).count() == engine.mapping.read().count() == 30 == sum(r["risk_event_volume"] for r in engine.events.version().collect())
