@@ -21,8 +21,9 @@ LEAST = {d: 1.0 for d, f in FACTORS.items() if f >= 1}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in none of the learned languages go."""
-    return langid.keep_known(docs, langid.fit(docs, langid.learnable()))
+    """Documents that are in none of the learned languages go. They are stored here: texts pass Python workers in batches of a bounded size
+    only while a table is stored, and whoever reads a plan that ends in workers would hand them larger ones."""
+    return stored(langid.keep_known(docs, langid.fit(docs, langid.learnable())), "known")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        fresh = stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        fresh = stage(spark, docs, sf_dir)
+        fresh = fresh if hasattr(fresh, "_stored_at") else stored(fresh, f"stage-{i}")
         discard(docs)  # what the stage before wrote
         docs = fresh
     return docs

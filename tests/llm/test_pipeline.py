@@ -41,3 +41,9 @@ def test_odd_documents_pass_through(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert len(TEXTS) == 13
+
+
+def test_texts_pass_workers_in_small_batches(spark):
+    known = cp.language_id(spark, documents(spark), SF)
+    assert "MapInArrow" not in known._jdf.queryExecution().toString()  # its reader's batches would hold 10,000 texts
+    assert known.count() > 0
