@@ -207,3 +207,9 @@ def test_an_idle_worker_holds_no_tokenizer(spark):
 
     packing.tokenize(documents(spark).repartition(8), tokenizer_path()).collect()
     assert {r["n"] for r in spark.range(1000).repartition(8).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_less_text_together_remembers_fewer_pieces():
+    half, whole = packing.ChunkTokenizer(tokenizer_path(), 50), packing.ChunkTokenizer(tokenizer_path())
+    text = " ".join("ab" + chr(97 + i % 26) + chr(97 + i // 26) + " other" for i in range(300)).encode()  # digits would be pieces of their own
+    assert half.ids(text) == whole.ids(text) and len(half) + len(half.old) <= 101 < len(whole)

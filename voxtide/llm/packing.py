@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.llm.binpack import PLAN_SCHEMA, Plan, best_fit_decreasing
-from voxtide.llm.common import gives_back, local_table, salted_rank, stored
+from voxtide.llm.common import give_back, gives_back, local_table, salted_rank, stored
 
 #: Distinct pieces that a worker remembers the ids of (some 230 bytes each), in each of two generations.
 MEMO = 100_000
@@ -63,11 +63,12 @@ class ChunkTokenizer(dict):
     #: Stands behind each chunk among its ids; no id is as large.
     MARK = b"\xff\xff\xff\xff"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int | None = None) -> None:
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.memo = memo or MEMO
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.by_chunks = by_chunks(path)
@@ -81,7 +82,7 @@ class ChunkTokenizer(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= self.memo:
             self.old = dict(self)
             self.clear()
             self[" "] = self.MARK
@@ -148,14 +149,14 @@ def by_chunks(path: str) -> bool:
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, together: int | None = None) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 [, ids]. ``path``: the tokenizer's file, on every machine; ``together``: less than ``TOGETHER`` takes less memory and more time."""
+    """A row per piece: doc_id, piece, start, length, ids_crc32 [, ids]. ``path``: the tokenizer's file, on every machine; ``together``: less than ``TOGETHER`` takes less memory, of remembered pieces too, and more time."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = ChunkTokenizer(path)  # for one task: some 50 MB that an idle worker would keep
+        encoder = ChunkTokenizer(path, together and max(1, MEMO * together // TOGETHER))  # for one task: some 50 MB that an idle worker would keep
         for whole in batches:
             texts = pc.fill_null(whole.column(1), "")
             ends = np.cumsum(pc.binary_length(texts).to_numpy()) // (together or TOGETHER)
@@ -172,6 +173,8 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         for column, value in zip(rows, values, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+            if together:
+                give_back()
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(gives_back(pieces), out)
